@@ -143,3 +143,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = SEED,
     on = units["doc_id"].eqNullSafe(picks["_doc_id"]) & (units["crc"] == picks["_crc"]) & (units["copy"] == picks["_copy"])
     out = units.join(picks, on, "left").withColumn("copies", F.when(F.col("size") > 0, F.col("base") + F.coalesce("pick", F.lit(0))).otherwise(0).cast("long"))
     return out.select(*UNIT, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it; rows without words aren't taken. Names beginning with _ are the operator's."""
+    text = F.coalesce(F.crc32("text"), F.lit(-1)).cast("long")
+    plan = mix(docs, weights, seed, chunk).where("copies > 0").groupBy("doc_id", "source", "size", "crc").agg(F.sort_array(F.collect_list(F.struct("copy", "copies"))).alias("_plan"))
+    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("crc").alias("_c"), "_plan")
+    own = docs.withColumns({"_size": words(F.col("text")), "_crc": text})
+    both = own.join(plan, own["doc_id"].eqNullSafe(plan["_d"]) & own["source"].eqNullSafe(plan["_s"]) & (own["_size"] == plan["_n"]) & (own["_crc"] == plan["_c"]))
+    # Rows equal in all of these are told apart by a number, which needs no order: any of them may be any unit.
+    nth = F.row_number().over(W.partitionBy("_d", "_s", "_n", "_c").orderBy(F.lit(0)))
+    unit = F.filter("_plan", lambda u: u["copy"] == F.col("_nth"))
+    return both.withColumn("_nth", nth.cast("long")).withColumn("_copies", F.get(unit, F.lit(0))["copies"]).where("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
