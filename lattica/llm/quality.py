@@ -166,7 +166,9 @@ def fit(numbers: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, g
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = written(numbers.join(marks, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select(*STATS, "quality", F.xxhash64(F.lit(SEED), "doc_id").alias("_h")), "labelled")
-    sample = rows.orderBy("_h", *STATS).limit(sample_rows).toPandas()
+    # The smallest hashes: first by their share, so that no partition sends more than its part, then exactly.
+    share = 1.1 * sample_rows / max(1, rows.count())
+    sample = rows.where(F.shiftrightunsigned("_h", 11) <= int(min(1.0, share) * 2**53)).orderBy("_h", *STATS).limit(sample_rows).toPandas()
     if len(sample) < 2:
         return Judge()
     forest = Forest(features({k: sample[k].to_numpy() for k in STATS}))
