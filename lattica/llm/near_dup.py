@@ -27,53 +27,85 @@ from pyspark.sql.window import Window as W
 from lattica.llm.common import written
 
 SHINGLE, CONTAINMENT = 5, 0.8
-BANDS, MISS, NEAR, SEED = 128, 0.001, 3, 60_013
+BANDS, MISS, NEAR, SEED = 96, 0.001, 3, 60_013
 SIGMAS = 4.0
-MEMO = 500_000
+#: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 class Shingler:
-    """Distinct 64-bit hashes of the five-word runs of a text, sorted. A text of 1 to 4 words has one: all of it."""
+    """Distinct 64-bit hashes of the five-word runs of a text, sorted. A text of 1 to 4 words has one: all of it.
 
-    def __init__(self, k: int = SHINGLE) -> None:
-        import xxhash
+    A word's hash is a polynomial over a random value for each byte, taken from running sums: no word becomes a Python
+    object. Words are hashed PIECE bytes at a time (or one longer word), which bounds the tables.
+    """
+
+    PIECE = 1 << 20
+    BASE = 0x9E3779B97F4A7C15 | 1
+    MIX = np.uint64(0xBF58476D1CE4E5B9)
 
-        self.k, self.hash, self.memo = k, xxhash.xxh3_64_intdigest, {}
+    def __init__(self, k: int = SHINGLE) -> None:
+        self.k = k
+        self.value = np.random.default_rng(SEED).integers(1, 2**63, 256, dtype=np.uint64)
+        self.solid = np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)])
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _tables(self, n: int) -> None:
+        if n > len(self.power):
+            n = 1 << (n - 1).bit_length()
+            self.power, self.inverse = np.full(n, self.BASE, np.uint64), np.full(n, pow(self.BASE, -1, 2**64), np.uint64)
+            for t in (self.power, self.inverse):
+                t[0] = 1
+                np.multiply.accumulate(t, out=t)
+
+    def words(self, text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        edge = np.diff(np.concatenate([[False], self.solid[raw], [False]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        out = np.empty(len(starts), np.uint64)
+        i = 0
+        with np.errstate(over="ignore"):
+            while i < len(starts):
+                j = max(i + 1, int(np.searchsorted(ends, starts[i] + self.PIECE, "right")))
+                base, n = int(starts[i]), int(ends[j - 1] - starts[i])
+                self._tables(n + 1)
+                run = np.concatenate([[np.uint64(0)], np.cumsum(self.value[raw[base : base + n]] * self.power[:n])])
+                out[i:j] = (run[ends[i:j] - base] - run[starts[i:j] - base]) * self.inverse[starts[i:j] - base]
+                i = j
+            out ^= out >> np.uint64(32)
+            out *= self.MIX
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").split()
-        if not words:
-            return np.empty(0, np.uint64)
-        memo = self.memo
-        ids = [memo.get(w) for w in words]
-        if None in ids:
-            if len(memo) > MEMO:
-                memo.clear()
-            for i, x in enumerate(ids):
-                if x is None:
-                    ids[i] = memo[words[i]] = self.hash(words[i])
-        x = np.array(ids, np.uint64)
-        n = max(1, len(x) - self.k + 1)
+        x = self.words(text)
+        if not len(x):
+            return x
+        k = min(self.k, len(x))
+        n = len(x) - k + 1
         with np.errstate(over="ignore"):
-            h = np.full(n, len(x) if len(x) < self.k else self.k, np.uint64)
-            for i in range(min(self.k, len(x))):
-                h = (h ^ x[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h = np.full(n, k, np.uint64)
+            for i in range(k):
+                h ^= x[i : i + n]
+                h *= np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(32)
-        return np.unique(h)
+        h.sort()
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least of each of the hashes a x + b, their upper 32 bits; pieces bound the memory for long texts."""
-    best = np.full(len(a), 0xFFFFFFFF, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 4096):
-            best = np.minimum(best, ((a[:, None] * shingles[None, i : i + 4096] + b[:, None]) >> np.uint64(32)).min(axis=1))
-    return best.astype(np.uint32).view(np.int32)
+    """The least of each of the hashes a x + b in 32 bits; pieces bound the memory for long texts."""
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    best = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 2048):
+        y = a[:, None] * x[None, i : i + 2048]
+        y += b[:, None]
+        np.minimum(best, y.min(axis=1), out=best)
+    return best.view(np.int32)
 
 
 def coefficients(bands: int = BANDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, bands, dtype=np.uint64)
+    return rng.integers(0, 2**31, bands, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, bands, dtype=np.uint32)
 
 
 def jaccard_threshold(steps: int, containment: float = CONTAINMENT) -> float:
@@ -106,7 +138,7 @@ def signed(docs: DataFrame, bands: int) -> DataFrame:
                 sigs.append(signature(s, a, b) if len(s) else np.empty(0, np.int32))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), pa.array([s.astype(np.uint8).tobytes() for s in sigs], pa.binary())], names=["doc_id", "h1", "h2", "size", "sig", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), pa.array([(s & 255).astype(np.uint8).tobytes() for s in sigs], pa.binary())], names=["doc_id", "h1", "h2", "size", "sig", "bytes"])
 
     return docs.select("doc_id", *text_hash(), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, size int, sig array<int>, bytes binary")
 
@@ -114,9 +146,13 @@ def signed(docs: DataFrame, bands: int) -> DataFrame:
 def candidates(nodes: DataFrame, containment: float = CONTAINMENT, bands: int = BANDS, near: int = NEAR) -> DataFrame:
     """a < b, seen: pairs of nodes (node, size, sig) that share a band that their partitions use, and in how many they met."""
     n = F.size("sig")
-    at = lambda k: F.get("sig", F.pmod(F.col("band") + k, n)).cast("long")
+    value = lambda k: F.get("sig", F.pmod(F.col("band") + k, n))
     rows = nodes.where("size > 0").select("node", "size", "sig", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    rows = rows.select(F.xxhash64("band", F.get("sig", F.col("band"))).alias("key"), (F.shiftleft(at(1), 32) + F.xxhash64("band", "node").bitwiseAND(F.lit(0xFFFFFFFF))).alias("rest"), "node", "size", F.col("band").cast("byte").alias("band"))
+    # 24 bytes a row: the band's value, the node, and in one number the next value's upper 25 bits, the band (7 bits) and the size (31).
+    packed = F.shiftleft(F.shiftrightunsigned(value(1), 7).cast("long"), 38) + F.shiftleft(F.col("band").cast("long"), 31) + F.col("size")
+    rows = rows.select(F.xxhash64("band", value(0)).alias("key"), packed.alias("packed"), "node").repartition("key")
+    rows = rows.select("key", "node", F.shiftright("packed", 38).alias("next"), F.shiftright("packed", 31).bitwiseAND(F.lit(127)).cast("int").alias("band"), F.col("packed").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("size"))
+    rows = rows.withColumn("rest", F.shiftleft("next", 32) + F.xxhash64("band", "node").bitwiseAND(F.lit(0xFFFFFFFF)))
     bucket = W.partitionBy("key").orderBy("rest", "node")
     other = F.struct("node", "size")
     met = [F.lag(other, k).over(bucket) for k in range(1, near + 1)] + [F.min(F.struct("size", "node")).over(W.partitionBy("key"))]
@@ -149,28 +185,37 @@ def likely(pairs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "seen", "x", "y", "p", "q").mapInArrow(run, "a long, b long, seen long")
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, set: the shingles of nodes (node, h1, h2, rep), from the row of docs that represents each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for batch in batches:
-            sets = [shingle(t or "").view(np.int64) for t in batch.column(1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64()))], names=["node", "set"])
+def texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of nodes (node, h1, h2, rep), each from the row of docs that represents it. Null ids have their text's hash in place of it."""
+    own = nodes.select("node", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("rep", "h1").alias("_rep"))
+    if own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        own = F.broadcast(own)
+    h1, h2 = text_hash()
+    full = docs.select(F.coalesce("doc_id", h1).alias("_id"), h1, h2, F.coalesce("text", F.lit("")).alias("text"))
+    return full.join(own, (full["_id"] == own["_rep"]) & (full["h1"] == own["_h1"]) & (full["h2"] == own["_h2"])).select("node", "text").dropDuplicates(["node"])
 
-    own = nodes.select("node", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep")
-    full = docs.select("doc_id", *text_hash(), "text")
-    found = full.join(own, (full["h1"] == own["_h1"]) & (full["h2"] == own["_h2"]) & full["doc_id"].eqNullSafe(own["rep"])).select("node", "text")
-    return found.mapInArrow(run, "node long, set array<long>")
 
+def linked(pairs: DataFrame, whole: DataFrame, sizes: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """The pairs (a, b) that share at least that part of the smaller set, by their whole texts. The smaller text goes to the larger one."""
 
-def linked(pairs: DataFrame, sets: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The pairs (a, b) that share at least that part of the smaller set. Of repeated rows of a node's set any one will do."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= F.ceil(F.least(F.size("sa"), F.size("sb")) * containment - 1e-9)).select("a", "b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, last, large = Shingler(), None, np.empty(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for node, small, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if node != last:
+                    last, large = node, shingle(text.as_py())
+                x = shingle(small)
+                at = np.minimum(np.searchsorted(large, x), max(0, len(large) - 1))
+                shared = int((large[at] == x).sum()) if len(large) else 0
+                keep.append(shared >= math.ceil(min(len(x), len(large)) * containment - 1e-9))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    size = lambda c: sizes.select(F.col("node").alias(c), F.col("size").alias("s" + c))
+    swap = F.col("sa") <= F.col("sb")
+    ordered = pairs.select("a", "b").join(size("a"), "a").join(size("b"), "b").select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("b"))
+    both = ordered.join(whole.select(F.col("node").alias("a"), F.col("text").alias("small")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("large")).hint("merge"), "b")
+    return both.select("a", "b", "small", "large").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -200,15 +245,15 @@ def classes(docs: DataFrame, containment: float = CONTAINMENT, bands: int = BAND
     met = written(candidates(nodes, containment, bands, near), "met")
     pairs = written(likely(met, nodes, containment), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(shingle_sets(docs, nodes.join(ends, "node", "left_semi")), "sets")
+    whole = written(texts(docs, nodes.join(ends, "node", "left_semi")), "texts")
     order = lambda x: F.max_by(F.struct("a", "b"), F.struct("seen", F.col(x)))
-    best = pairs.groupBy(F.col("a").alias("node")).agg(order("b").alias("p")).select("p.*").union(pairs.groupBy(F.col("b").alias("node")).agg(order("a").alias("p")).select("p.*")).distinct()
-    first = written(linked(best, sets, containment), "links")
+    best = written(pairs.groupBy(F.col("a").alias("node")).agg(order("b").alias("p")).select("p.*").union(pairs.groupBy(F.col("b").alias("node")).agg(order("a").alias("p")).select("p.*")).distinct(), "best")
+    first = written(linked(best, whole, nodes, containment), "links")
     labels = components(first)
     # What is left to check: pairs not checked yet whose ends aren't in one class already.
     la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     open_ = pairs.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False)))
-    links = first.union(linked(open_, sets, containment))
+    links = first.union(linked(open_, whole, nodes, containment))
     labels = components(links)
     classed = nodes.select("node", "h1", "h2", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = classed.groupBy("label").agg(F.min("rep").alias("class_id"))
