@@ -59,17 +59,17 @@ def substring_distance(item: list[int], text: list[int], most: int) -> tuple[int
 
 
 class Embedding:
-    """WALKS random walks and, for each, TABLES sets of SAMPLED places, all decided by the seed. Places are shares of the walk's length 3 n."""
+    """WALKS random walks and, for each, TABLES sets of SAMPLED places, all decided by the seed. Places are shares of the walk's length 2 n, in which it reads n words on average."""
 
     def __init__(self, walks: int = WALKS, tables: int = TABLES, sampled: int = SAMPLED, seed: int = SEED) -> None:
         self.rng, self.walks, self.tables, self.sampled, self.seed = np.random.default_rng(seed), walks, tables, sampled, seed
         self.places = self.rng.random((walks, tables, sampled))
 
-    def embed(self, windows: np.ndarray) -> np.ndarray:
-        """windows: (m, n) word ids. (m, walks, tables, sampled) word ids at the sampled places; -1 beyond the end."""
+    def embed(self, windows: np.ndarray, end: int) -> np.ndarray:
+        """windows: (m, n) word ids. (m, walks, tables, sampled) word ids at the sampled places; `end` beyond the last word."""
         m, n = windows.shape
-        length = 3 * n
-        padded = np.concatenate([windows, np.full((m, 1), -1, np.int64)], axis=1)
+        length = 2 * n
+        padded = np.concatenate([windows, np.full((m, 1), end, np.int64)], axis=1)
         at = np.zeros((m, self.walks), np.int64)
         out = np.empty((m, self.walks, length), np.int64)
         rows = np.arange(m)[:, None]
@@ -86,7 +86,7 @@ class Embedding:
 
     def candidates(self, item: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """Which windows agree with the embedded item in all places of at least one table."""
-        same = self.embed(windows) == item
+        same = self.embed(windows, -4) == item
         return same.all(axis=3).any(axis=(1, 2))
 
 
@@ -146,7 +146,7 @@ class Index:
         n = len(own)
         padded = np.concatenate([np.full(n, -3, np.int64), ids, np.full(n + k, -3, np.int64)])
         if item not in self.embedded:
-            self.embedded[item] = self.embedding.embed(own[None, :])
+            self.embedded[item] = self.embedding.embed(own[None, :], -1)
         best, until = None, -1
         for a in range(0, len(starts), 256):
             part = starts[a : a + 256]

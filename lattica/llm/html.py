@@ -163,6 +163,17 @@ def covered(streams: list[np.ndarray], run: int = RUN, min_pages: int = MIN_PAGE
     return [mask[e - n - 1 : e - 1] for e, n in zip(ends, sizes)]
 
 
+def long_runs(mask: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A block that is covered whole, and else its covered stretches of at least `run` tokens: a run that only begins or ends in a block doesn't take words off it."""
+    if mask.all() or not mask.any():
+        return mask
+    edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+        if b - a < run:
+            mask[a:b] = False
+    return mask
+
+
 def unique_text(pages: list[list[str]]) -> list[str]:
     """Of the blocks of each page of one group, what isn't covered. A block's begin is a token too, so that short menu entries make a run."""
     ids: dict[str, int] = {"\n": 0}
@@ -172,7 +183,7 @@ def unique_text(pages: list[list[str]]) -> list[str]:
         kept, at = [], 0
         for b in page:
             w = b.split(" ")
-            gone = mask[at + 1 : at + 1 + len(w)]
+            gone = long_runs(mask[at + 1 : at + 1 + len(w)])
             at += 1 + len(w)
             left = [x for x, g in zip(w, gone) if not g]
             if left:

@@ -94,7 +94,7 @@ class LineRuns:
 
 
 def dropped_positions(lines: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
-    """_d, _t, gone: the sorted positions of the frequent lines of each document that has some.
+    """_d, _t, _gone: the sorted positions of the frequent lines of each document that has some.
 
     A line that many documents hold would be one hot key: those counted above total / HOT are at most HOT and are
     broadcast; other keys hold about that share of the rows at most (some batches may not have counted them).
@@ -104,14 +104,14 @@ def dropped_positions(lines: DataFrame, frequent: DataFrame, total: int) -> Data
     hot = frequent.where(F.col("n") > bound).select(*HASH)
     rest = frequent.where(F.col("n") <= bound).select(*HASH)
     parts = at.join(F.broadcast(hot), HASH, "left_semi").union(at.join(F.broadcast(hot), HASH, "left_anti").join(rest, HASH, "left_semi"))
-    return parts.groupBy("_d", "_t").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    return parts.groupBy("_d", "_t").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with n_lines, n_dropped and kept (the text without the lines whose key is found in at least min_docs documents).
 
     Every row is a document, repeated rows too. A null or empty text is one empty line, which has no key and stays.
-    Input columns of these names are replaced; names _d and _t are taken.
+    Input columns of these names are replaced; names _d, _t, _d2, _t2, _lines and _gone are taken.
     """
     spark = docs.sparkSession
     lines = written(line_rows(docs, batches), "lines", partitionBy="batch")
@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
     gone = dropped_positions(lines, frequent, total).withColumnsRenamed({"_d": "_d2", "_t": "_t2"})
     full = with_ids(docs)
     joined = full.join(gone.hint("shuffle_hash"), full["_d"].eqNullSafe(gone["_d2"]) & (full["_t"] == gone["_t2"]), "left").drop("_d2", "_t2")
-    joined = joined.withColumn("_lines", split_lines(F.col("text"))).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.col("gone")), lambda i: F.get("_lines", i))
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("kept", kept).drop("_d", "_t", "_lines", "gone")
+    joined = joined.withColumn("_lines", split_lines(F.col("text"))).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
+    kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n"))
+    return joined.withColumn("kept", kept).drop("_d", "_t", "_lines", "_gone")

@@ -47,7 +47,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     level = total / (own.agg(F.sum("w")).first()[0] or 1.0)
     while True:  # the level only rises, and each turn caps at least one more source or ends
         over = F.col("w") * level > F.col("cap")
-        capped, open_w = own.agg(F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("w")))).first()
+        capped, open_w = own.agg(F.coalesce(F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.lit(0.0)), F.coalesce(F.sum(F.when(over, 0.0).otherwise(F.col("w"))), F.lit(0.0))).first()
         new = (total - capped) / open_w if open_w else level
         if not open_w or new <= level * (1 + 1e-12):
             break
