@@ -6,11 +6,18 @@ parts classes, orders variables; routes, endpoints, handlers, middleware, tools
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from lattica.plans.lineage import shared_dir
+from lattica.schema import EDGE, NODE
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 _COLUMNS = "id label name qualifiedName filePath startLine endLine language signature returnType docstring content isExported isGlobal parentQn project httpMethod path expectedSchema hash lineCount parameterCount".split()
+NODE_TYPES = T.StructType([NODE[c] for c in _COLUMNS])
 _KIND = {"startLine": "BIGINT", "endLine": "BIGINT", "lineCount": "BIGINT", "parameterCount": "BIGINT", "isExported": "BOOLEAN", "isGlobal": "BOOLEAN"}
 
 
@@ -102,8 +109,16 @@ def plain(sql: str) -> str:
 GRAPH_CTE = f"nodes AS ({plain(NODES_SQL)}),\nedges AS ({plain(EDGES_SQL)})"
 
 
+#: (application, directory, table) -> where it is stored
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Graph:
-    """nodes and edges of one star schema directory; tables are read when first needed."""
+    """nodes and edges of one star schema directory.
+
+    Like any source, it is indexed once: the first query of an application writes nodes by label and edges by type into
+    the shared folder, and all queries read the partitions that they need from there.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -111,13 +126,21 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _sql(self, sql: str) -> DataFrame:
+    def derived(self, sql: str) -> DataFrame:
         return self.spark.sql(sql, **{t: self.table(t) for t in TABLES})
 
+    def _stored(self, name: str, sql: str, part: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = f"{shared_dir(self.spark)}/graph/{key[0]}/{name}-{uuid.uuid4().hex}"
+            self.derived(sql).write.partitionBy(part).parquet(path)
+            _STORED[key] = path
+        return self.spark.read.schema(NODE_TYPES if name == "nodes" else EDGE).parquet(_STORED[key])
+
     @property
     def nodes(self) -> DataFrame:
-        return self._sql(NODES_SQL)
+        return self._stored("nodes", NODES_SQL, "label")
 
     @property
     def edges(self) -> DataFrame:
-        return self._sql(EDGES_SQL)
+        return self._stored("edges", EDGES_SQL, "type")

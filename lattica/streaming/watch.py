@@ -60,7 +60,17 @@ def adaptive_debounce(events: DataFrame, key: str, ts: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "ms", "windowMs"])
         state.update((window, last, gaps))
 
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        window, last, gaps, out = MOST_MS, None, [], []
+        for t in sorted(frame["ms"]):
+            window, gaps = debounce_step(window, gaps, last, t)
+            last = t
+            out.append((frame[key].iloc[0], t, window))
+        return pd.DataFrame(out, columns=[key, "ms", "windowMs"])
+
     rows = events.select(key, (F.unix_micros(ts) / 1000.0).alias("ms"))
+    if not events.isStreaming:
+        return rows.groupBy(key).applyInPandas(whole, f"{key} {kind}, ms double, windowMs double")
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ms double, windowMs double", "window double, last double, gaps array<double>", "append", "NoTimeout")
 
 
