@@ -21,31 +21,97 @@ DICE = 0.8
 SCHEMA = "doc_id long, n_licenses long, licenses string, best_dice double, spans string"
 WORDS = re.compile(r"\w+")
 
+def _joined(*pieces: str) -> str:
+    return " ".join(pieces)
+
+
 #: (id, text). Notices as they are put into files, and the short licences in full.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("MIT", _joined('This project is licensed under the terms', 'of the MIT license.')),
+    ("MIT", _joined(
+        'Permission is hereby granted, free of charge,',
+        'to any person obtaining a copy of',
+        'this software and associated documentation files (the',
+        '"Software"), to deal in the Software without',
+        'restriction, including without limitation the rights to',
+        'use, copy, modify, merge, publish, distribute, sublicense,',
+        'and/or sell copies of the Software, and',
+        'to permit persons to whom the Software',
+        'is furnished to do so, subject to',
+        'the following conditions: The above copyright notice',
+        'and this permission notice shall be included',
+        'in all copies or substantial portions of',
+        'the Software. THE SOFTWARE IS PROVIDED "AS',
+        'IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS',
+        'OR IMPLIED, INCLUDING BUT NOT LIMITED TO',
+        'THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A',
+        'PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT',
+        'SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE',
+        'LIABLE FOR ANY CLAIM, DAMAGES OR OTHER',
+        'LIABILITY, WHETHER IN AN ACTION OF CONTRACT,',
+        'TORT OR OTHERWISE, ARISING FROM, OUT OF',
+        'OR IN CONNECTION WITH THE SOFTWARE OR',
+        'THE USE OR OTHER DEALINGS IN THE',
+        'SOFTWARE.',
+    )),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("Apache-2.0", _joined(
+        'Licensed under the Apache License, Version 2.0',
+        '(the "License"); you may not use this',
+        'file except in compliance with the License.',
+        'You may obtain a copy of the',
+        'License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable',
+        'law or agreed to in writing, software',
+        'distributed under the License is distributed on',
+        'an "AS IS" BASIS, WITHOUT WARRANTIES OR',
+        'CONDITIONS OF ANY KIND, either express or',
+        'implied. See the License for the specific',
+        'language governing permissions and limitations under the',
+        'License.',
+    )),
+    ("GPL-3.0", _joined('This work is licensed under the GNU', 'General Public License, version 3.')),
+    ("GPL-3.0", _joined(
+        'This program is free software: you can',
+        'redistribute it and/or modify it under the',
+        'terms of the GNU General Public License',
+        'as published by the Free Software Foundation,',
+        'either version 3 of the License, or',
+        '(at your option) any later version. This',
+        'program is distributed in the hope that',
+        'it will be useful, but WITHOUT ANY',
+        'WARRANTY; without even the implied warranty of',
+        'MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.',
+        'See the GNU General Public License for',
+        'more details.',
+    )),
+    ("GPL-2.0", _joined('This work is licensed under the GNU', 'General Public License, version 2.')),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", _joined('This Source Code Form is subject to', 'the terms of the Mozilla Public License,', 'v. 2.0. If a copy of the', 'MPL was not distributed with this file,', 'You can obtain one at http://mozilla.org/MPL/2.0/.')),
+    ("BSD-3-Clause", _joined('Use of this source code is governed', 'by a BSD-style license that can be', 'found in the LICENSE file.')),
+    ("BSD-3-Clause", _joined(
+        'Redistribution and use in source and binary',
+        'forms, with or without modification, are permitted',
+        'provided that the following conditions are met:',
+        'Redistributions of source code must retain the',
+        'above copyright notice, this list of conditions',
+        'and the following disclaimer. Redistributions in binary',
+        'form must reproduce the above copyright notice,',
+        'this list of conditions and the following',
+        'disclaimer in the documentation and/or other materials',
+        'provided with the distribution.',
+    )),
+    ("ISC", _joined('Permission to use, copy, modify, and/or distribute', 'this software for any purpose with or', 'without fee is hereby granted, provided that', 'the above copyright notice and this permission', 'notice appear in all copies.')),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-4.0", _joined('This work is licensed under a Creative', 'Commons Attribution 4.0 International License.')),
+    ("CC-BY-SA-4.0", _joined('This work is licensed under a Creative', 'Commons Attribution-ShareAlike 4.0 International License.')),
+    ("CC-BY-NC-4.0", _joined('This work is licensed under a Creative', 'Commons Attribution-NonCommercial 4.0 International License.')),
+    ("CC0-1.0", _joined('To the extent possible under law, the', 'author has waived all copyright and related', 'or neighboring rights to this work.')),
+    ("Unlicense", _joined('This is free and unencumbered software released', 'into the public domain.')),
     ("LicenseRef-all-rights", "All rights reserved."),
 ]
 

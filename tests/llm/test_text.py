@@ -300,7 +300,7 @@ def test_licences_as_lines_and_whole_texts(spark):
 
 def test_bounds_lose_no_window():
     rng = random.Random(10)
-    vocabulary_ = ["a", "b", "c", "d", "e"]
+    vocabulary_ = list("abcde")
     for _ in range(150):
         template = [rng.choice(vocabulary_) for _ in range(rng.randrange(3, 9))]
         text = [rng.choice(vocabulary_) for _ in range(14)]
