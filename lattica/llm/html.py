@@ -121,15 +121,14 @@ def blocks(page: str) -> tuple[list[str], bool]:
                 inside -= 1
             continue
         attributes = m[3] or m[6] or ""
-        if tag in MAIN or "main" in attributes and re.search(r"(?i)\brole\s*=\s*[\"']?main\b", attributes):
-            if tag in MAIN:
-                inside += 1
-                seen_main = True
+        if tag in MAIN:
+            inside += 1
+            seen_main = True
         if tag not in VOID and junk(tag, attributes, inside > 0):
             close()
             skipped, depth = tag, 1
     close()
-    return (own, True) if seen_main and own else (open_ if not seen_main else own, seen_main)
+    return (own, True) if seen_main else (open_, False)
 
 
 def covered(streams: list[np.ndarray], run: int = RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> list[np.ndarray]:
