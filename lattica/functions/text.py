@@ -188,7 +188,7 @@ IDENT = r"[A-Za-z0-9_]"
 
 
 def is_identifier(c: Column) -> Column:
-    return F.rlike(c, F.lit(r"^[A-Za-z_][A-Za-z0-9_]*$"))
+    return F.rlike(c, F.lit(r"^(?!\d)\w+$"))
 
 
 def word_occurrences(text: Column, word: str) -> Column:

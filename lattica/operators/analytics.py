@@ -16,9 +16,9 @@ from lattica.operators.traverse import closure
 
 # Dead code
 
-ENTRY_PATTERNS = ("main", "Main", "__main__", "wmain", "WinMain", "DLLMain")
-TEST_PATTERNS = ("test_*", "*_test", "*_spec", "it_*", "sec_*", "snap_*", "perf_*", "bench_*")
-ENTRY_ATTRIBUTES = ("#[tool", "#[forge", "#[tokio::main", "#[rocket::main", "#[actix::main", "#[axum::main")
+ENTRY_PATTERNS = tuple("main Main __main__ wmain WinMain DLLMain".split())
+TEST_PATTERNS = tuple("test_* *_test *_spec it_* sec_* snap_* perf_* bench_*".split())
+ENTRY_ATTRIBUTES = tuple("#[" + x for x in ("tool", "forge", *(f"{r}::main" for r in ("tokio", "rocket", "actix", "axum"))))
 LIVE_TYPES = ("CALLS", "FFI_CALLS", "IMPLEMENTS", "HANDLES_ROUTE", "USAGE", "TESTS", "USES_TYPE", "HTTP_CALLS", "ASYNC_CALLS")
 DEAD_REASON = "zero incoming CALLS edges"
 
@@ -51,7 +51,7 @@ def dead_code(nodes: DataFrame, edges: DataFrame, project: str | None = None, la
     other = edges.where("type <> 'CALLS'").select(F.col("target").alias("id")).distinct().withColumn("_other", F.lit(True))
     dead = functions.join(live, "id", "left_anti").join(called, "id", "left").join(other, "id", "left")
     confidence = F.when(F.col("_called"), "Low").when(F.col("_other"), "Medium").otherwise("High")
-    return dead.select("name", "qualifiedName", "filePath", "startLine", "language", confidence.alias("confidence"), F.lit(DEAD_REASON).alias("reason")).orderBy("qualifiedName")
+    return dead.select(*"name qualifiedName filePath startLine language".split(), confidence.alias("confidence"), F.lit(DEAD_REASON).alias("reason")).orderBy("qualifiedName")
 
 
 # Communities
@@ -152,7 +152,7 @@ def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:
 
 # Architecture
 
-PACKAGE_LABELS = ("Function", "Method", "Class", "Struct", "Enum", "Trait", "Interface", "Module")
+PACKAGE_LABELS = tuple("Function Method Class Struct Enum Trait Interface Module".split())
 
 
 def languages(nodes: DataFrame) -> DataFrame:
@@ -372,7 +372,7 @@ def rename_plan(nodes: DataFrame, edges: DataFrame, files: DataFrame, id_: str,
     row = nodes.where(F.col("id") == id_).select("name").first()
     if row is None:
         raise LookupError(id_)
-    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", new):
+    if not re.fullmatch(r"(?a)(?!\d)\w+", new):
         raise ValueError(f"not an identifier: {new}")
     around = edges.where(F.col("source") == id_).select(F.col("target").alias("id")).union(edges.where(F.col("target") == id_).select("source")).union(nodes.where(F.col("id") == id_).select("id")).distinct()
     paths = nodes.join(around, "id", "left_semi").select("filePath").distinct()

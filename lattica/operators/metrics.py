@@ -16,7 +16,8 @@ from lattica.sources.extract import blanked
 #: metric -> the greatest green, yellow and red value
 THRESHOLDS = {"cyclomatic": (10, 20, 25), "cognitive": (10, 15, 20), "nesting": (3, 5, 6), "lines": (30, 100, 200), "volume": (100, 1000, 8000)}
 MAINTAINABILITY = (85, 65, 25)
-TIMES, SPACES, SEVERITY = ("O(1)", "O(log n)", "O(n)", "O(n log n)", "O(n^2)", "O(n^3)", "O(2^n)"), ("O(1)", "O(n)", "O(n^2)"), ("green", "yellow", "red", "critical")
+TIMES = tuple(f"O({x})" for x in "1/log n/n/n log n/n^2/n^3/2^n".split("/"))
+SPACES, SEVERITY = tuple(f"O({x})" for x in "1 n n^2".split()), tuple("green yellow red critical".split())
 
 BRANCH = re.compile(r"\b(?:if|elif|for|while|case|catch|except|when|foreach|until|unless)\b|\?(?![.?:])")
 SHORT = re.compile(r"&&|\|\||\band\b|\bor\b")
@@ -103,7 +104,7 @@ def counts(text: str, language: str, name: str) -> tuple:
     elif re.search(r"\.sort(?:_by\w*|_unstable\w*)?\(|\bsorted\(", plain):
         time = "O(n log n)"
     else:
-        time = ("O(1)", "O(n)", "O(n^2)", "O(n^3)")[min(loops, 3)]
+        time = TIMES[(0, 2, 4, 5)[min(loops, 3)]]
     allocates = bool(ALLOCATE.search(plain))
     space = "O(n^2)" if allocates and loops >= 2 else "O(n)" if allocates or own else "O(1)"
     return cyclomatic, cognitive, nesting, len(set(operators)), len(set(operands)), len(operators), len(operands), time, space

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.schema import EDGE_COLUMNS
+
 SAME_FILE, IMPORTED, EXPORTED = 0.95, 0.90, 0.80
-BUILDERS = ("new", "default", "clone", "into", "from", "unwrap", "to_string", "len", "iter", "map", "collect")
+BUILDERS = tuple("new default clone into from unwrap to_string len iter map collect".split())
 CALLABLE = ("Function", "Method", "Constructor", "Macro")
-PROBES = ("rs", "py", "ts", "tsx", "js", "jsx", "go", "java", "c", "h", "cpp", "hpp")
+PROBES = tuple("rs py ts tsx js jsx go java c h cpp hpp".split())
 
 
 def symbol_table(nodes: DataFrame, labels: tuple[str, ...] = CALLABLE) -> DataFrame:
@@ -151,9 +153,9 @@ def retarget_types(edges: DataFrame, nodes: DataFrame, imports: DataFrame) -> Da
     ids = nodes.select("id")
     loose = edges.where(F.col("type").isin(*types)).join(ids.withColumnRenamed("id", "target"), "target", "left_anti")
     facts = loose.join(nodes.select(F.col("id").alias("source"), "filePath"), "source").withColumn("name", F.col("target")).select("source", "name", "filePath", "type", "startLine", "project", "reason")
-    symbols = symbol_table(nodes, ("Class", "Struct", "Enum", "Trait", "Interface", "TypeAlias", "Record"))
+    symbols = symbol_table(nodes, tuple("Class Struct Enum Trait Interface TypeAlias Record".split()))
     fixed = ranked_targets(facts, symbols, imports, ["source", "name", "type", "startLine", "project", "reason"])
-    fixed = fixed.select("source", "target", "type", "confidence", "confidenceTier", "reason", "startLine", "project")
+    fixed = fixed.select(*EDGE_COLUMNS)
     kept = edges.join(loose.select("source", "target", "type", "startLine"), ["source", "target", "type", "startLine"], "left_anti").select(*fixed.columns)
     return kept.union(fixed)
 

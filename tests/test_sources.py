@@ -157,7 +157,7 @@ def test_index_then_change_then_delete(spark, tree, tmp_path):
     calls = {(r.source, r.target) for r in service.store.edges.where("type = 'CALLS'").collect()}
     assert ("p.src.main.main", "p.src.util.helper") in calls and ("p.src.util.helper", "p.src.util.deep") in calls and ("p.pkg.app.Base.run", "p.pkg.util.helper") in calls
     assert service.store.edges.where("type = 'EXTENDS'").first().target == "p.pkg.app.Base"
-    assert {tuple(r) for r in service.query("MATCH (a:Function)-[:CALLS]->(b:Function {name: 'deep'}) RETURN a.name").collect()} == {("helper",)}
+    assert {tuple(r) for r in service.query("MATCH (to:Function {name: 'deep'})<-[:CALLS]-(of:Function) RETURN of.name").collect()} == {("helper",)}
     assert "unused" in {r.name for r in service.dead_code().collect()} and "deep" not in {r.name for r in service.dead_code().collect()}
     assert [list(r.nodes) for r in service.trace("main", depth=2).where("depth = 2").collect()] == [["p.src.main.main", "p.src.util.helper", "p.src.util.deep"]]
     affected, risk = service.impact("deep")
