@@ -10,6 +10,10 @@ not paired with each other: within the bucket they are sorted by the next value
 then at random, and each is a candidate with the NEAR nodes before it and with the bucket's smallest set, which is what contains least and
 is contained most. So a bucket of m nodes gives O(m) candidates, and texts that are really alike meet in many buckets.
 Candidates are checked in rounds: first the best of each node; then only those that would still join two classes.
+
+Bands miss links: between sizes far apart, and in buckets that a passage crowds. So a last round finds every link that is
+left: the larger text has one of any n - ceil(0.8 n) + 1 of the smaller one's n shingles. The rarest of each text are
+taken and meet all shingles of all texts; pairs of one class need no check.
 Classes are connected components by min-label propagation with pointer jumping, each round a table in the shared folder.
 """
 
@@ -29,6 +33,8 @@ from lattica.llm.common import written
 SHINGLE, CONTAINMENT = 5, 0.8
 BANDS, MISS, NEAR, SEED = 96, 0.001, 3, 60_013
 SIGMAS = 4.0
+#: Shingles that are counted to tell which are rare (it decides on the work only), and about how many are in one bucket of the last round.
+COUNTED, BUCKET = 4_000_000, 4_000_000
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -185,14 +191,118 @@ def likely(pairs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "seen", "x", "y", "p", "q").mapInArrow(run, "a long, b long, seen long")
 
 
-def texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of nodes (node, h1, h2, rep), each from the row of docs that represents it. Null ids have their text's hash in place of it."""
-    own = nodes.select("node", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("rep", "h1").alias("_rep"))
+def bearing(docs: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    """node, more, text of nodes (node, h1, h2, rep, more), from each row of docs that represents it. Null ids have their text's hash in place of it."""
+    own = nodes.select("node", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("rep", "h1").alias("_rep"), *more)
     if own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         own = F.broadcast(own)
     h1, h2 = text_hash()
     full = docs.select(F.coalesce("doc_id", h1).alias("_id"), h1, h2, F.coalesce("text", F.lit("")).alias("text"))
-    return full.join(own, (full["_id"] == own["_rep"]) & (full["h1"] == own["_h1"]) & (full["h2"] == own["_h2"])).select("node", "text").dropDuplicates(["node"])
+    return full.join(own, (full["_id"] == own["_rep"]) & (full["h1"] == own["_h1"]) & (full["h2"] == own["_h2"])).select("node", *more, "text")
+
+
+def texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of nodes (node, h1, h2, rep)."""
+    return bearing(docs, nodes).dropDuplicates(["node"])
+
+
+def counted(docs: DataFrame, nodes: DataFrame, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that more than one of every so many nodes has, and how many have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["s"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = b"".join(x for batch in batches for x in batch.column(0).to_pylist())
+        s, n = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+        s, n = s[n > 1], n[n > 1].astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["s", "n"])
+
+    some = nodes.where(F.pmod("h2", F.lit(every)) == 0)
+    found = bearing(docs, some).mapInArrow(run, "s binary").repartition(1).mapInArrow(count, "s binary, n binary").first()
+    if found is None:
+        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+    return np.frombuffer(found.s, np.uint64), np.frombuffer(found.n, np.uint32)
+
+
+def meetings(docs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """a < b: all pairs of nodes (node, h1, h2, rep, size, label) of different labels that may be linked. No linked pair of different labels is missing.
+
+    Of n shingles the n - ceil(containment n) + 1 that are rarest in the sample ask for all texts of at least that size that
+    have one of them. Shingles are dealt to buckets by their low bits and compared there by their upper 32 bits.
+    """
+    nodes = nodes.where("size > 0")
+    total = nodes.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
+    buckets = 1 << max(3, math.ceil(total / BUCKET) - 1).bit_length()
+    known = docs.sparkSession.sparkContext.broadcast(counted(docs, nodes, max(1, math.ceil(total / COUNTED))))
+    columns = ["many", "node", "size", "label", "shingle", "asks"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, (common, times) = Shingler(), known.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, size, label = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(3))
+            sets, asks = [], []
+            for text in batch.column(3):
+                s = shingle(text.as_py())
+                ask = np.zeros(len(s), bool)
+                n = np.zeros(len(s), np.uint32)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    n = np.where(common[at] == s, times[at], 0)
+                ask[np.argsort(n, kind="stable")[: len(s) - math.ceil(len(s) * containment - 1e-9) + 1]] = True
+                sets.append(s)
+                asks.append(ask)
+            own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            s, ask = np.concatenate(sets), np.concatenate(asks)
+            bucket = (s & np.uint64(buckets - 1)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            own, ask, bucket, s = own[order], ask[order], bucket[order], (s[order] >> np.uint64(32)).astype(np.uint32)
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            out = []
+            for k in range(buckets):
+                i, j = ends[k], ends[k + 1]
+                if i < j:
+                    doc, many = np.unique(own[i:j], return_counts=True)
+                    out.append((k, many.astype(np.uint32).tobytes(), node[doc].tobytes(), size[doc].tobytes(), label[doc].tobytes(), s[i:j].tobytes(), np.packbits(ask[i:j]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[c] for r in out], pa.binary()) for c in range(1, 7)]], names=["bucket", *columns])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        raw = {c: rows.column(c).to_pylist() for c in columns}
+        read = lambda c, kind: np.frombuffer(b"".join(raw[c]), kind)
+        many, node, size, label, s = read("many", np.uint32), read("node", np.int64), read("size", np.int32), read("label", np.int64), read("shingle", np.uint32)
+        ask = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y) // 4) for x, y in zip(raw["asks"], raw["shingle"])]).astype(bool)
+        order = np.argsort(s, kind="stable")
+        own, ask, s = np.repeat(np.arange(len(many)), many)[order], ask[order], s[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        length = np.diff(np.append(first, len(s)))
+        of = label[own]
+        mixed = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+        group = np.repeat(np.arange(len(first)), length)
+        asking = np.flatnonzero(ask & mixed[group])
+        start, n = first[group[asking]], length[group[asking]]
+        before = np.concatenate([[0], np.cumsum(n)])
+        pairs, i = np.empty((0, 2), np.int64), 0
+        while i < len(asking):
+            j = max(i + 1, int(np.searchsorted(before, before[i] + (1 << 21), "right")) - 1)
+            x = np.repeat(own[asking[i:j]], n[i:j])
+            y = own[np.repeat(start[i:j] - before[i:j], n[i:j]) + np.arange(before[i], before[j])]
+            good = (label[x] != label[y]) & (size[x] <= size[y])
+            x, y = node[x[good]], node[y[good]]
+            new = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+            pairs, i = np.concatenate([pairs, new]), j
+            if j == len(asking) or len(pairs) > 1 << 22:
+                o = np.lexsort((pairs[:, 1], pairs[:, 0]))
+                pairs = pairs[o]
+                pairs = pairs[np.concatenate([np.ones(min(1, len(pairs)), bool), (pairs[1:] != pairs[:-1]).any(1)])]
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    dealt = bearing(docs, nodes, "size", "label").select("node", "size", "label", "text")
+    dealt = dealt.mapInArrow(deal, "bucket int, " + ", ".join(f"{c} binary" for c in columns))
+    return dealt.groupBy("bucket").applyInArrow(lambda t: meet(t), "a long, b long").distinct()
 
 
 def linked(pairs: DataFrame, whole: DataFrame, sizes: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -253,8 +363,14 @@ def classes(docs: DataFrame, containment: float = CONTAINMENT, bands: int = BAND
     # What is left to check: pairs not checked yet whose ends aren't in one class already.
     la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     open_ = pairs.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False)))
-    links = first.union(linked(open_, whole, nodes, containment))
+    links = written(first.union(linked(open_, whole, nodes, containment)), "links")
     labels = components(links)
+    # What all bands missed.
+    labelled = written(nodes.select("node", "h1", "h2", "rep", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    rest = written(meetings(docs, labelled, containment), "rest")
+    ends = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).distinct()
+    whole = written(texts(docs, nodes.join(ends, "node", "left_semi")), "texts")
+    labels = components(links.union(linked(rest, whole, nodes, containment)))
     classed = nodes.select("node", "h1", "h2", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = classed.groupBy("label").agg(F.min("rep").alias("class_id"))
     return rows.select("doc_id", "h1", "h2").join(classed.join(ids, "label").select("h1", "h2", "class_id"), ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id")

@@ -232,6 +232,15 @@ def test_bands_find_their_threshold():
         assert (1 - near_dup.jaccard_threshold(k)) ** near_dup.bands_for(k) <= near_dup.MISS
 
 
+def test_links_within_a_crowd_are_found(spark):
+    passage = prose(random.Random(11), 82)
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    # 78 of 100 shingles are everyone's; two texts each share four more.
+    rows = [(k, f"{passage} {words(f'pair{k // 2}x', 4)} {words(f'own{k}x', 18)}") for k in range(800)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
 # Personal data
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
