@@ -120,7 +120,7 @@ def jaccard_threshold(steps: int, containment: float = CONTAINMENT) -> float:
 
 
 def bands_for(steps: int, containment: float = CONTAINMENT, bands: int = BANDS, miss: float = MISS) -> int:
-    """How many bands of one row find a pair at the threshold but for a share of `miss`; all bands where even they don't suffice."""
+    """How many bands of one row find a pair at the threshold but for a share of `miss`; all bands where even they don't suffice (three steps and more): the last round finds what they miss."""
     s = jaccard_threshold(steps, containment)
     return min(bands, math.ceil(math.log(miss) / math.log1p(-s)))
 

@@ -241,6 +241,16 @@ def test_links_within_a_crowd_are_found(spark):
     assert got == {k: k - k % 2 for k, _ in rows}
 
 
+def test_links_between_sizes_far_apart_are_found(spark):
+    rng, rows = random.Random(12), []
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    for k in range(60):  # 44 of 54 shingles within 16 to 100 times as many
+        w, more = words(f"small{k}x", 58), words(f"large{k}x", rng.randrange(16, 100) * 54)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(more[:200] + w[:48] + more[200:]))]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
 # Personal data
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
