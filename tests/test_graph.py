@@ -170,3 +170,19 @@ def test_rrf_prefers_both_lists(spark):
     hit = lambda rows: spark.createDataFrame([(n, "Function", "f", 1, n, s, "x", 0) for n, s in rows], "name string, label string, filePath string, startLine long, qualifiedName string, score double, matchReason string, degree long")
     got = S.rrf([hit([("a", 9.0), ("b", 8.0)]), hit([("b", 1.0), ("c", 0.5)])]).collect()
     assert [r.name for r in got] == ["b", "a", "c"] and abs(got[0].score - (1 / 62 + 1 / 61)) < 1e-12
+
+
+def test_methods_of_every_class_are_resolved(spark):
+    from lattica.plans.queries import QUERIES
+    from lattica.sources.star import Graph
+
+    sf = "/root/testdata/sf0.001"
+    g = Graph(spark, sf)
+    up = {r.source: r.target for r in g.edges.where("type = 'EXTENDS'").collect()}  # one parent each
+    want = {}
+    for r in g.nodes.where("label = 'Class'").select("id").collect():
+        line = [r.id]
+        while line[-1] in up and up[line[-1]] not in line:
+            line.append(up[line[-1]])
+        want[r.id] = ">".join(line)
+    assert {r.root: r.mro for r in QUERIES["g19_method_resolution"](spark, sf).collect()} == want
