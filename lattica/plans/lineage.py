@@ -1,4 +1,4 @@
-"""Cutting lineage in loops: tables in the folder that the cluster shares."""
+"""Cutting lineage: tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
@@ -7,19 +7,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a write go when it ends: what comes later starts from its table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset: a folder of our own if all runs on one machine, else an error, since each executor would write to its own disk."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:  # tests: one machine
+    if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lattica-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "step", **how: object) -> DataFrame:
     """df written as Parquet and read again: a plan of one scan, which survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/steps/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, **how)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` returned. Only for those that no plan reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
