@@ -1,14 +1,13 @@
-"""What the operators share: tables, the shared folder, lineage cuts, prefix sums and checked joins."""
+"""What the operators share: tables, lineage cuts, free names, prefix sums and checked joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lattica.plans.lineage import cut
+
 #: The six characters that count as white space in every contract here.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,27 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
-    if not path:
-        path = sc.getCheckpointDir()
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="lattica-")
-            sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, name: str, **how: object) -> DataFrame:
     """df as a Parquet table in the shared folder: later plans start from files, so a lost executor costs only the reading."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path, **how)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, name, **how)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """A name for each of `names` that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    end = "_"
+    while any((n + end).lower() in taken for n in names):
+        end += "_"
+    return [n + end for n in names]
 
 
 def uniform(*columns: Column) -> Column:

@@ -7,14 +7,14 @@ number of bands that finds a pair at its own threshold with probability 1 - MISS
 
 Copies of one text are one node throughout, so thousands of copies cost a row each. Nodes that share a band's value are
 not paired with each other: within the bucket they are sorted by the next value of their signature (as in an LSH forest),
-then at random, and each is a candidate with the NEAR nodes before it and with the bucket's smallest set, which is what contains least and
-is contained most. So a bucket of m nodes gives O(m) candidates, and texts that are really alike meet in many buckets.
-Candidates are checked in rounds: first the best of each node; then only those that would still join two classes.
-
-Bands miss links: between sizes far apart, and in buckets that a passage crowds. So a last round finds every link that is
-left: the larger text has one of any n - ceil(0.8 n) + 1 of the smaller one's n shingles. The rarest of each text are
-taken and meet all shingles of all texts; pairs of one class need no check.
-Classes are connected components by min-label propagation with pointer jumping, each round a table in the shared folder.
+then at random, and each is a candidate with the NEAR nodes before it and with the bucket's smallest set so far, which is
+what contains least and is contained most. So a bucket of m nodes gives O(m) candidates; the best of each node is checked.
+
+The ensemble misses links: between sizes far apart, and in buckets that a passage crowds. So a last round finds every
+link that is left between its classes. Only shingles that are held by more than one class can be part of such a link, and
+a text of n shingles can be the smaller end only if ceil(0.8 n) of its shingles are; few texts are left then. Those ask
+for the holders of their rarest shingles, one more than a link may lack, and the pairs are checked exactly too.
+Classes are connected components by contraction, each round a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lattica.llm.common import written
+from lattica.llm.common import fresh, written
+from lattica.plans.lineage import forget
 
 SHINGLE, CONTAINMENT = 5, 0.8
-BANDS, MISS, NEAR, SEED = 96, 0.001, 3, 60_013
+BANDS, MISS, NEAR, SEED = 72, 0.001, 3, 60_013
 SIGMAS = 4.0
-#: Shingles that are counted to tell which are rare (it decides on the work only), and about how many are in one bucket of the last round.
-COUNTED, BUCKET = 4_000_000, 4_000_000
+#: About how many entries are in one bucket of the last round, and how many texts are sampled for its hot shingles.
+BUCKET, SAMPLED_NODES = 4_000_000, 8_192
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -150,24 +151,65 @@ def signed(docs: DataFrame, bands: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, containment: float = CONTAINMENT, bands: int = BANDS, near: int = NEAR) -> DataFrame:
-    """a < b, seen: pairs of nodes (node, size, sig) that share a band that their partitions use, and in how many they met."""
+    """a < b, seen: pairs of nodes (node, size, sig) that share a band that their partitions use, and in how many they met.
+
+    Rows are sorted by range, so that a bucket that holds a third of all nodes is many tasks' work.
+    """
+    used = np.array([bands_for(k, containment, bands) for k in range(33)])
     n = F.size("sig")
     value = lambda k: F.get("sig", F.pmod(F.col("band") + k, n))
     rows = nodes.where("size > 0").select("node", "size", "sig", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    # 24 bytes a row: the band's value, the node, and in one number the next value's upper 25 bits, the band (7 bits) and the size (31).
-    packed = F.shiftleft(F.shiftrightunsigned(value(1), 7).cast("long"), 38) + F.shiftleft(F.col("band").cast("long"), 31) + F.col("size")
-    rows = rows.select(F.xxhash64("band", value(0)).alias("key"), packed.alias("packed"), "node").repartition("key")
-    rows = rows.select("key", "node", F.shiftright("packed", 38).alias("next"), F.shiftright("packed", 31).bitwiseAND(F.lit(127)).cast("int").alias("band"), F.col("packed").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("size"))
-    rows = rows.withColumn("rest", F.shiftleft("next", 32) + F.xxhash64("band", "node").bitwiseAND(F.lit(0xFFFFFFFF)))
-    bucket = W.partitionBy("key").orderBy("rest", "node")
-    other = F.struct("node", "size")
-    met = [F.lag(other, k).over(bucket) for k in range(1, near + 1)] + [F.min(F.struct("size", "node")).over(W.partitionBy("key"))]
-    rows = rows.select("node", "size", "band", *[m.alias(f"m{i}") for i, m in enumerate(met)]).where(F.col("m0").isNotNull() | (F.col(f"m{near}.node") != F.col("node")))
-    pairs = rows.select("node", "size", "band", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"m{i}.node").alias("node"), F.col(f"m{i}.size").alias("size")) for i in range(near + 1)]))).alias("o")).where(F.col("o.node").isNotNull() & (F.col("o.node") != F.col("node")))
-    part = lambda c: F.floor(F.log2(F.col(c)))
-    steps = F.abs(part("size") - part("o.size")).cast("int")
-    used = F.element_at(F.array(*[F.lit(bands_for(k, containment, bands)) for k in range(33)]), F.least(steps, F.lit(32)) + 1)
-    return pairs.where(F.col("band") < used).groupBy(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).agg(F.count(F.lit(1)).alias("seen"))
+    rest = F.shiftleft(value(1).cast("long"), 32) + F.xxhash64("band", "node").bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = rows.select(F.xxhash64("band", value(0)).alias("key"), rest.alias("rest"), "node", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("size")).alias("packed"))
+    rows = rows.repartitionByRange("key", "rest").sortWithinPartitions("key", "rest", "node")
+
+    def meet(key: np.ndarray, node: np.ndarray, packed: np.ndarray, known: int) -> np.ndarray:
+        """The pairs of the rows from `known` on."""
+        size, band, at = packed & 0xFFFFFFFF, packed >> 32, np.arange(len(key))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        least = np.minimum.reduceat((size << 20) | at, first) & 0xFFFFF
+        x, y = [at], [np.repeat(least, np.diff(np.append(first, len(key))))]
+        for k in range(1, near + 1):
+            i = np.flatnonzero(key[k:] == key[:-k]) + k
+            x.append(i), y.append(i - k)
+        x, y = np.concatenate(x), np.concatenate(y)
+        steps = np.abs(np.log2(size[x]).astype(np.int64) - np.log2(size[y]).astype(np.int64))
+        good = (np.maximum(x, y) >= known) & (node[x] != node[y]) & (band[x] < used[steps])
+        x, y = node[x[good]], node[y[good]]
+        return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        before = [np.empty(0, np.int64)] * 3
+
+        def out() -> pa.RecordBatch:
+            pairs, seen = _distinct(np.concatenate(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(seen)], names=["a", "b", "seen"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy() for i in (0, 2, 3)]
+            key, node, packed = (np.concatenate([p, q]) for p, q in zip(before, now))
+            held.append(meet(key, node, packed, len(before[0])))
+            # The bucket that may go on: its smallest node so far and its last ones.
+            own = np.flatnonzero(key == key[-1])
+            keep = np.unique(np.append(own[-near:], own[np.argmin(packed[own] & 0xFFFFFFFF)]))
+            before = [key[keep], node[keep], packed[keep]]
+            if sum(map(len, held)) > 1 << 20:
+                yield out()
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, "a long, b long, seen long").groupBy("a", "b").agg(F.sum("seen").alias("seen"))
+
+
+def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and how often each occurs."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(pairs)), bool), (pairs[1:] != pairs[:-1]).any(1)]))
+    return pairs[at], np.diff(np.append(at, len(pairs))).astype(np.int64)
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT, sigmas: float = SIGMAS) -> DataFrame:
@@ -192,7 +234,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT,
 
 
 def bearing(docs: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
-    """node, more, text of nodes (node, h1, h2, rep, more), from each row of docs that represents it. Null ids have their text's hash in place of it."""
+    """node, more, text of nodes (node, h1, h2, rep, more), from the row of docs that represents it. Null ids have their text's hash in place of it."""
     own = nodes.select("node", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("rep", "h1").alias("_rep"), *more)
     if own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         own = F.broadcast(own)
@@ -201,13 +243,9 @@ def bearing(docs: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
     return full.join(own, (full["_id"] == own["_rep"]) & (full["h1"] == own["_h1"]) & (full["h2"] == own["_h2"])).select("node", *more, "text")
 
 
-def texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of nodes (node, h1, h2, rep)."""
-    return bearing(docs, nodes).dropDuplicates(["node"])
-
-
-def counted(docs: DataFrame, nodes: DataFrame, every: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that more than one of every so many nodes has, and how many have it."""
+def hot_shingles(docs: DataFrame, nodes: DataFrame, rows: int, most: int, sampled: int = SAMPLED_NODES) -> np.ndarray:
+    """Shingles, sorted, that about `most` nodes or more have, told by a sample of about `sampled` of the `rows` nodes. Which they are decides on the layout of the work only."""
+    every = max(1, rows // sampled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -215,135 +253,228 @@ def counted(docs: DataFrame, nodes: DataFrame, every: int) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["s"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = b"".join(x for batch in batches for x in batch.column(0).to_pylist())
-        s, n = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
-        s, n = s[n > 1], n[n > 1].astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["s", "n"])
-
+        s, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in batches:
+            new = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
+            s, i = np.unique(np.concatenate([s, new[0]]), return_inverse=True)
+            n = np.bincount(i, weights=np.concatenate([n, new[1]]), minlength=len(s)).astype(np.int64)
+        hot = s[n >= max(2, most / every)]
+        yield pa.RecordBatch.from_arrays([pa.array([hot.tobytes()], pa.binary())], names=["s"])
+
+    if rows < most:
+        return np.empty(0, np.uint64)
     some = nodes.where(F.pmod("h2", F.lit(every)) == 0)
-    found = bearing(docs, some).mapInArrow(run, "s binary").repartition(1).mapInArrow(count, "s binary, n binary").first()
-    if found is None:
-        return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    return np.frombuffer(found.s, np.uint64), np.frombuffer(found.n, np.uint32)
+    found = bearing(docs, some).mapInArrow(run, "s binary").repartition(1).mapInArrow(count, "s binary").first()
+    return np.frombuffer(found.s, np.uint64) if found else np.empty(0, np.uint64)
 
 
-def meetings(docs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """a < b: all pairs of nodes (node, h1, h2, rep, size, label) of different labels that may be linked. No linked pair of different labels is missing.
+def shared_shingles(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Of the shingles of nodes (node, h1, h2, rep, size, label), those that nodes of more than one label have.
 
-    Of n shingles the n - ceil(containment n) + 1 that are rarest in the sample ask for all texts of at least that size that
-    have one of them. Shingles are dealt to buckets by their low bits and compared there by their upper 32 bits.
+    A row for each bucket of shingles: id, times (of each such shingle), holders (times of them, indexes into node and
+    label), node, label, many (how many such shingles each has here). Shingles are dealt by their low bits; those that
+    are hot are dealt by shingle and node, so that a bucket has about `bucket` entries whatever any of them does.
     """
     nodes = nodes.where("size > 0")
-    total = nodes.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
-    buckets = 1 << max(3, math.ceil(total / BUCKET) - 1).bit_length()
-    known = docs.sparkSession.sparkContext.broadcast(counted(docs, nodes, max(1, math.ceil(total / COUNTED))))
-    columns = ["many", "node", "size", "label", "shingle", "asks"]
+    total, rows = nodes.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = 1 << max(3, math.ceil(total / bucket) - 1).bit_length()
+    known = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, nodes, rows, max(2, bucket // 8)))
+    low = buckets.bit_length() - 1
+    parts = ["node", "label", "many", "key"]
+
+    def ids(s: np.ndarray) -> np.ndarray:
+        """32 upper bits and the bucket's: what tells shingles apart here."""
+        return ((s >> np.uint64(32)) << np.uint64(low)) | (s & np.uint64(buckets - 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, (common, times) = Shingler(), known.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, size, label = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(3))
-            sets, asks = [], []
-            for text in batch.column(3):
-                s = shingle(text.as_py())
-                ask = np.zeros(len(s), bool)
-                n = np.zeros(len(s), np.uint32)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    n = np.where(common[at] == s, times[at], 0)
-                ask[np.argsort(n, kind="stable")[: len(s) - math.ceil(len(s) * containment - 1e-9) + 1]] = True
-                sets.append(s)
-                asks.append(ask)
-            own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            s, ask = np.concatenate(sets), np.concatenate(asks)
-            bucket = (s & np.uint64(buckets - 1)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            own, ask, bucket, s = own[order], ask[order], bucket[order], (s[order] >> np.uint64(32)).astype(np.uint32)
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+        shingle, hot = Shingler(), known.value
+
+        def cut(sets: list[np.ndarray], node: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+            s, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            is_hot = np.zeros(len(s), bool)
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+            to, spread = (s & np.uint64(buckets - 1)).astype(np.int64), s[is_hot] ^ node[own[is_hot]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            to[is_hot] = ((spread * Shingler.MIX) >> np.uint64(32)).astype(np.int64) & (buckets - 1)
             out = []
-            for k in range(buckets):
-                i, j = ends[k], ends[k + 1]
-                if i < j:
-                    doc, many = np.unique(own[i:j], return_counts=True)
-                    out.append((k, many.astype(np.uint32).tobytes(), node[doc].tobytes(), size[doc].tobytes(), label[doc].tobytes(), s[i:j].tobytes(), np.packbits(ask[i:j]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[c] for r in out], pa.binary()) for c in range(1, 7)]], names=["bucket", *columns])
-
-    def meet(rows: pa.Table) -> pa.Table:
-        raw = {c: rows.column(c).to_pylist() for c in columns}
-        read = lambda c, kind: np.frombuffer(b"".join(raw[c]), kind)
-        many, node, size, label, s = read("many", np.uint32), read("node", np.int64), read("size", np.int32), read("label", np.int64), read("shingle", np.uint32)
-        ask = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y) // 4) for x, y in zip(raw["asks"], raw["shingle"])]).astype(bool)
-        order = np.argsort(s, kind="stable")
-        own, ask, s = np.repeat(np.arange(len(many)), many)[order], ask[order], s[order]
+            for flag in (False, True):
+                at = np.flatnonzero(is_hot == flag)
+                if not len(at):
+                    continue
+                at = at[np.argsort(to[at].astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")]
+                key = ids(s[at]) if flag else (s[at] >> np.uint64(32)).astype(np.uint32)
+                ends = np.searchsorted(to[at], np.arange(buckets + 1))
+                for k in np.flatnonzero(ends[1:] > ends[:-1]):
+                    i, j = ends[k], ends[k + 1]
+                    first = np.flatnonzero(np.concatenate([[True], own[at[i + 1 : j]] != own[at[i : j - 1]]]))
+                    doc = own[at[i:j]][first]
+                    out.append((k, flag, node[doc].tobytes(), label[doc].tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), key[i:j].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.bool_()), *[pa.array([r[c] for r in out], pa.binary()) for c in range(2, 6)]], names=["bucket", "hot", *parts])
+
+        with np.errstate(over="ignore"):
+            sets, at, held = [], [], 0
+            for batch in batches:
+                node, label = (batch.column(i).to_numpy() for i in (0, 1))
+                for i, text in enumerate(batch.column(2)):
+                    sets.append(shingle(text.as_py()))
+                    at.append((node[i], label[i]))
+                    held += len(sets[-1])
+                    if held >= 1 << 21:
+                        yield cut(sets, *map(np.array, zip(*at)))
+                        sets, at, held = [], [], 0
+            if sets:
+                yield cut(sets, *map(np.array, zip(*at)))
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        """The shingles of one bucket that are shared between labels."""
+        flag = np.array(rows.column("hot").to_pylist())
+        raw = {c: rows.column(c).to_pylist() for c in parts}
+        node, label = (np.frombuffer(b"".join(raw[c]), np.int64) for c in ("node", "label"))
+        unique, doc = np.unique(node, return_inverse=True)
+        of = np.empty(len(unique), np.int64)
+        of[doc] = label
+        entries, i = [], 0
+        for f, m, k in zip(flag, raw["many"], raw["key"]):
+            m = np.frombuffer(m, np.uint32)
+            k = np.frombuffer(k, np.uint64) if f else (np.frombuffer(k, np.uint32).astype(np.uint64) << np.uint64(low)) | np.uint64(key[0].as_py())
+            entries.append((k, np.repeat(doc[i : i + len(m)], m).astype(np.uint32), np.full(len(k), f)))
+            i += len(m)
+        s, own, hot = (np.concatenate([e[c] for e in entries]) for c in range(3))
+        order = np.argsort(s)
+        s, own, hot = s[order], own[order], hot[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        length = np.diff(np.append(first, len(s)))
-        of = label[own]
-        mixed = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
-        group = np.repeat(np.arange(len(first)), length)
-        asking = np.flatnonzero(ask & mixed[group])
-        start, n = first[group[asking]], length[group[asking]]
-        before = np.concatenate([[0], np.cumsum(n)])
-        pairs, i = np.empty((0, 2), np.int64), 0
-        while i < len(asking):
-            j = max(i + 1, int(np.searchsorted(before, before[i] + (1 << 21), "right")) - 1)
-            x = np.repeat(own[asking[i:j]], n[i:j])
-            y = own[np.repeat(start[i:j] - before[i:j], n[i:j]) + np.arange(before[i], before[j])]
-            good = (label[x] != label[y]) & (size[x] <= size[y])
-            x, y = node[x[good]], node[y[good]]
-            new = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
-            pairs, i = np.concatenate([pairs, new]), j
-            if j == len(asking) or len(pairs) > 1 << 22:
-                o = np.lexsort((pairs[:, 1], pairs[:, 0]))
-                pairs = pairs[o]
-                pairs = pairs[np.concatenate([np.ones(min(1, len(pairs)), bool), (pairs[1:] != pairs[:-1]).any(1)])]
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    dealt = bearing(docs, nodes, "size", "label").select("node", "size", "label", "text")
-    dealt = dealt.mapInArrow(deal, "bucket int, " + ", ".join(f"{c} binary" for c in columns))
-    return dealt.groupBy("bucket").applyInArrow(lambda t: meet(t), "a long, b long").distinct()
-
-
-def linked(pairs: DataFrame, whole: DataFrame, sizes: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The pairs (a, b) that share at least that part of the smaller set, by their whole texts. The smaller text goes to the larger one."""
+        times = np.diff(np.append(first, len(s)))
+        held = of[own]
+        mixed = (np.minimum.reduceat(held, first) != np.maximum.reduceat(held, first)) | np.logical_or.reduceat(hot, first)
+        own = own[np.repeat(mixed, times)]
+        # In a bucket of its own a hot shingle has a part of its holders: it counts as many times, to be the last choice.
+        weight = np.where(np.logical_or.reduceat(hot, first), np.int64(1) << 40, times)
+        many = np.bincount(own, minlength=len(unique))
+        has = many > 0
+        new = np.cumsum(has) - 1
+        blob = lambda x, kind: pa.array([np.ascontiguousarray(x).astype(kind).tobytes()], pa.binary())
+        return pa.table({"id": blob(s[first][mixed], np.int64), "weight": blob(weight[mixed], np.int64), "times": blob(times[mixed], np.uint32), "holders": blob(new[own], np.uint32), "node": blob(unique[has], np.int64), "label": blob(of[has], np.int64), "many": blob(many[has], np.int64)})
+
+    dealt = bearing(docs, nodes, "label").select("node", "label", "text")
+    dealt = dealt.mapInArrow(deal, "bucket int, hot boolean, " + ", ".join(f"{c} binary" for c in parts))
+    return dealt.groupBy("bucket").applyInArrow(lambda k, t: meet(k, t), ", ".join(f"{c} binary" for c in ("id", "weight", "times", "holders", "node", "label", "many")))
+
+
+def unpacked(shared: DataFrame, *columns: str) -> DataFrame:
+    """The entries of shared_shingles: id, weight, node and label of each shingle and holder; or of the columns node and many, a row for each node of a bucket."""
+    whole = "id" in columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda batch, i, c, kind=np.int64: np.frombuffer(batch.column(c)[i].as_py(), kind)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if whole:
+                    times, holders = read(batch, i, "times", np.uint32), read(batch, i, "holders", np.uint32)
+                    found = {"id": np.repeat(read(batch, i, "id"), times), "weight": np.repeat(read(batch, i, "weight"), times), "node": read(batch, i, "node")[holders], "label": read(batch, i, "label")[holders]}
+                else:
+                    found = {c: read(batch, i, c) for c in columns}
+                n = len(found[columns[0]])
+                for a in range(0, n, 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[c][a : a + 100_000]) for c in columns], names=list(columns))
+
+    need = ("id", "weight", "times", "holders", "node", "label") if whole else columns
+    return shared.select(*need).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
+
+def meetings(docs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT, bucket: int = BUCKET) -> DataFrame:
+    """a < b, seen: pairs of nodes (node, h1, h2, rep, size, label) of different labels that may be linked. No linked pair of different labels is missing.
+
+    Of n shingles a link of x, the smaller set, needs n - f = ceil(containment n), all of them held by another label. So x
+    asks only if it has m >= n - f such shingles, and then any m - (n - f) + 1 of them do: one is the other text's. It asks
+    with the rarest.
+    """
+    shared = written(shared_shingles(docs, nodes, bucket), "shared")
+    least = F.ceil(F.col("size") * F.lit(containment) - 1e-9)
+    many = unpacked(shared, "node", "many").groupBy("node").agg(F.sum("many").alias("many"))
+    askers = written(many.join(nodes.select("node", "size", F.col("label").alias("own")), "node").where(F.col("many") >= least).select("node", "own", (F.col("many") - least + 1).alias("asks")), "askers")
+    few = askers.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    entries = unpacked(shared, "id", "weight", "node", "label")
+    own = entries.join(F.broadcast(askers) if few else askers, "node")
+    nth = F.row_number().over(W.partitionBy("node").orderBy("weight", "id"))
+    asks = written(own.withColumn("nth", nth).where("nth <= asks").select("id", F.col("node").alias("x"), "own"), "asks")
+    few = asks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    met = entries.select("id", "node", "label").join(F.broadcast(asks) if few else asks, "id").where("node <> x AND label <> own")
+    out = written(met.groupBy(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).agg(F.count(F.lit(1)).alias("seen")), "rest")
+    forget(shared, askers, asks)
+    return out
+
+
+def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT, share: int = 256) -> DataFrame:
+    """The pairs (a, b) of nodes (node, h1, h2, rep, size) that share at least that part of the smaller set, by their whole texts.
+
+    The smaller texts follow the larger one in a stream, which goes once to each task that has some of its pairs: a text
+    with many pairs is dealt to one task for every `share` of them.
+    """
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    whole = written(bearing(docs, nodes.join(ends, "node", "left_semi")), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last, large = Shingler(), None, np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for node, small, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                if node != last:
-                    last, large = node, shingle(text.as_py())
-                x = shingle(small)
+            for b, a, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if a is None:
+                    last, large = b, shingle(text.as_py())
+                    keep.append(False)
+                    continue
+                if b != last:
+                    raise ValueError("a text is missing")
+                x = shingle(text.as_py())
                 at = np.minimum(np.searchsorted(large, x), max(0, len(large) - 1))
                 shared = int((large[at] == x).sum()) if len(large) else 0
                 keep.append(shared >= math.ceil(min(len(x), len(large)) * containment - 1e-9))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    size = lambda c: sizes.select(F.col("node").alias(c), F.col("size").alias("s" + c))
+    size = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias("s" + c))
     swap = F.col("sa") <= F.col("sb")
     ordered = pairs.select("a", "b").join(size("a"), "a").join(size("b"), "b").select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("b"))
-    both = ordered.join(whole.select(F.col("node").alias("a"), F.col("text").alias("small")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("large")).hint("merge"), "b")
-    return both.select("a", "b", "small", "large").mapInArrow(run, "a long, b long")
-
-
-def components(edges: DataFrame, name: str = "labels") -> DataFrame:
-    """node, label (the least node of its component) of every node of edges (a, b)."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), name)
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
-    while True:
-        # The least label around each node, then the label of that label.
-        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(around, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = written(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), name)
-        labels = new.select("node", "label")
-        if not new.where("old <> label").limit(1).count():
-            return labels
-
-
-def classes(docs: DataFrame, containment: float = CONTAINMENT, bands: int = BANDS, near: int = NEAR) -> DataFrame:
+    parts = ordered.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / share).alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts"))
+    small = ordered.join(parts, "b").withColumn("part", part).join(whole.select(F.col("node").alias("a"), "text"), "a").select("b", "part", "a", "text")
+    large = parts.join(whole.select(F.col("node").alias("b"), "text"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
+    stream = small.union(large).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    links = written(stream.mapInArrow(run, "a long, b long"), "links")
+    forget(whole)
+    return links
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, label (a node of its component, one for all of it) of every node of edges (a, b).
+
+    In each round every node goes over to the node around it, itself included, that comes first in a random order, and the
+    edges between those that are left make the next round: their number falls by a constant factor, whatever the shape.
+    A giant component's label is a hot key of the left sides only, which adaptive execution splits.
+    """
+    rest, maps, k = written(edges.select("a", "b"), "edges"), [], 0
+    while k == 0 or rest.limit(1).count():
+        order = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("node"))
+        both = rest.union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", order("a"))["node"].alias("label"))
+        maps.append(written(to, "labels"))
+        a, b = (maps[-1].select(F.col("node").alias(c), F.col("label").alias("l" + c)) for c in "ab")
+        new = rest.join(a, "a").join(b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+        old, rest, k = rest, written(new, "edges"), k + 1
+        forget(old)
+    labels = maps[0]
+    for m in maps[1:]:
+        labels = labels.join(m.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+    out = written(labels, "labels")
+    forget(rest, *maps)
+    return out
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """a, b: of each node's pairs (a, b, seen) the one that met most often."""
+    order = lambda x: F.max_by(F.struct("a", "b"), F.struct("seen", F.col(x)))
+    return written(pairs.groupBy(F.col("a").alias("node")).agg(order("b").alias("p")).select("p.*").union(pairs.groupBy(F.col("b").alias("node")).agg(order("a").alias("p")).select("p.*")).distinct(), "best")
+
+
+def classes(docs: DataFrame, containment: float = CONTAINMENT, bands: int = BANDS, near: int = NEAR, bucket: int = BUCKET) -> DataFrame:
     """A row for each row of docs: doc_id, h1, h2 (its text's hash), class_id (the least doc_id of its class).
 
     Equal texts share a class, null counts as empty, and texts without words are alike only to their equals. Rows with a
@@ -351,29 +482,33 @@ def classes(docs: DataFrame, containment: float = CONTAINMENT, bands: int = BAND
     """
     rows = written(signed(docs, bands), "signed")
     found = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
-    nodes = written(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    met = written(candidates(nodes, containment, bands, near), "met")
-    pairs = written(likely(met, nodes, containment), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    whole = written(texts(docs, nodes.join(ends, "node", "left_semi")), "texts")
-    order = lambda x: F.max_by(F.struct("a", "b"), F.struct("seen", F.col(x)))
-    best = written(pairs.groupBy(F.col("a").alias("node")).agg(order("b").alias("p")).select("p.*").union(pairs.groupBy(F.col("b").alias("node")).agg(order("a").alias("p")).select("p.*")).distinct(), "best")
-    first = written(linked(best, whole, nodes, containment), "links")
-    labels = components(first)
-    # What is left to check: pairs not checked yet whose ends aren't in one class already.
-    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    open_ = pairs.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False)))
-    links = written(first.union(linked(open_, whole, nodes, containment)), "links")
+    signatures = written(found.withColumn("node", F.monotonically_increasing_id()), "signatures")
+    ids, nodes = written(rows.select("doc_id", "h1", "h2"), "ids"), written(signatures.drop("sig", "bytes"), "nodes")
+    forget(rows)
+    if ids.groupBy("doc_id", "h1", "h2").count().where("count > 1").limit(1).count():  # repeated rows represent once
+        docs = written(docs.select("doc_id", "text").distinct(), "once")
+    # The ensemble: the best candidate of each node.
+    met = written(candidates(signatures, containment, bands, near), "met")
+    pairs = written(likely(met, signatures, containment), "pairs")
+    best = best_of(pairs)
+    links = linked(best, docs, nodes, containment)
+    forget(signatures, met, pairs, best)
+    # What is left between the classes so far: again the best of each node, then those that still would join two classes.
+    labelled = lambda labels: nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labels = components(links)
-    # What all bands missed.
-    labelled = written(nodes.select("node", "h1", "h2", "rep", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    rest = written(meetings(docs, labelled, containment), "rest")
-    ends = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).distinct()
-    whole = written(texts(docs, nodes.join(ends, "node", "left_semi")), "texts")
-    labels = components(links.union(linked(rest, whole, nodes, containment)))
-    classed = nodes.select("node", "h1", "h2", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = classed.groupBy("label").agg(F.min("rep").alias("class_id"))
-    return rows.select("doc_id", "h1", "h2").join(classed.join(ids, "label").select("h1", "h2", "class_id"), ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id")
+    own = written(labelled(labels), "labelled")
+    forget(labels)
+    rest = meetings(docs, own, containment, bucket)
+    best = best_of(rest)
+    links = links.union(linked(best, docs, nodes, containment))
+    labels = components(links)
+    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    open_ = written(rest.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b"), "open")
+    links = links.union(linked(open_, docs, nodes, containment))
+    forget(own, rest, best, labels, open_)
+    classed = labelled(components(links))
+    least = classed.groupBy("label").agg(F.min("rep").alias("class_id"))
+    return ids.join(classed.join(least, "label").select("h1", "h2", "class_id"), ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id")
 
 
 def near_duplicates(docs: DataFrame, containment: float = CONTAINMENT, bands: int = BANDS, near: int = NEAR) -> DataFrame:
@@ -382,12 +517,13 @@ def near_duplicates(docs: DataFrame, containment: float = CONTAINMENT, bands: in
 
 
 def one_of_each(docs: DataFrame, containment: float = CONTAINMENT, bands: int = BANDS, near: int = NEAR) -> DataFrame:
-    """The rows of docs with one row of each class: that with the least doc_id (of rows with null ids only, any one); all columns."""
+    """The rows of docs with one row of each class: that with the least doc_id (of rows with null ids only, any one); all columns, whatever their names."""
     found = classes(docs, containment, bands, near)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select(F.col("doc_id").alias("_d"), F.col("h.h1").alias("_k1"), F.col("h.h2").alias("_k2"))
+    k1, k2, d, m1, m2, n = fresh(docs.columns, "k1", "k2", "d", "m1", "m2", "n")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select(F.col("doc_id").alias(d), F.col("h.h1").alias(k1), F.col("h.h2").alias(k2))
     h1, h2 = text_hash()
-    marked = docs.withColumns({"_h1": h1, "_h2": h2})
-    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["_d"]) & (marked["_h1"] == keep["_k1"]) & (marked["_h2"] == keep["_k2"]))
+    marked = docs.withColumns({m1: h1, m2: h2})
+    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep[d]) & (marked[m1] == keep[k1]) & (marked[m2] == keep[k2]))
     # Rows that repeat in id and text: one of them.
-    nth = F.row_number().over(W.partitionBy("_d", "_k1", "_k2").orderBy(F.lit(0)))
-    return kept.withColumn("_n", nth).where("_n = 1").select(*docs.columns)
+    nth = F.row_number().over(W.partitionBy(d, k1, k2).orderBy(F.lit(0)))
+    return kept.withColumn(n, nth).where(F.col(n) == 1).drop(d, k1, k2, m1, m2, n)
