@@ -1,12 +1,16 @@
-"""Main text of web pages: structure where the page has it, a host suffix array where it hasn't.
-
-A page with an article or main element says itself what its text is. In other pages, whatever is not in an element
-that is boilerplate by its kind is open, and the host decides: the token streams of its pages are concatenated, a
-suffix array (prefix doubling up to RUN tokens) finds the runs of at least RUN tokens that occur on many distinct
-pages, and what they cover is removed; unique runs stay. Repeats inside article elements are not removed: copies of one
-article on several pages of a host are text, not boilerplate.
-
-A large host is split at random into groups of about GROUP_TOKENS tokens; each group is judged like a host of that size.
+"""Main text of web pages: a host suffix array over token streams, with what the markup says of each block.
+
+Every page's stream holds all its visible blocks, a sign before each. Suffixes are named by their first RUN tokens
+(prefix doubling, names in place of ranks), which is as deep as the array matters, and the array is distributed: names
+are dealt to buckets by their low bits, and each bucket is sorted, where equal runs of a host meet and the distinct pages
+that hold them are counted. Equal pages of a host count once. A host of any size is judged whole, and a run that all its
+pages hold is one entry for each chunk of pages, not for each page.
+
+A block that other pages of its host repeat is boilerplate, unless it is part of a repeated stretch of LONG tokens that
+is not on most pages: a copy or a shared passage is text. What is left are the unique runs. The markup decides what
+repetition cannot: where a page has an article or main element, the rest of the page isn't its text, and there only
+blocks go that most of the host's pages repeat. Menus, footers, asides, forms, adverts and comments go by their kind
+unless they would take most of the text with them.
 """
 
 from __future__ import annotations
@@ -16,44 +20,52 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import join_checked, written
+from lattica.llm.common import written
+from lattica.llm.near_dup import Shingler
 
 RUN = 6
-MIN_PAGES = 2
-MIN_SHARE = 0.1
-GROUP_TOKENS = 400_000
-SEED = 90_011
+#: Distinct pages that make a run boilerplate; those that do in an article, at least, if they are the larger part of the host.
+MIN_PAGES, MOST_PAGES = 2, 5
+#: Tokens of a repeated stretch that is a copy or a passage, and of one that goes out of the middle of a block.
+LONG, PART = 50, 20
+#: Tokens of the pages that are dealt and judged together, and of a bucket.
+CHUNK, BUCKET = 1_000_000, 1_000_000
+BROADCAST_ROWS = 500_000
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
+ARTICLE, OPEN, JUNK = 0, 1, 2
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW = frozenset("script style noscript template textarea iframe title xmp noembed noframes".split())
 RAW_END = {t: re.compile(rf"(?i)</{t}(?=[\s/>])[^>]*>|\Z") for t in RAW}
-SKIP = frozenset("head nav footer aside form button select dialog menu svg math canvas object audio video map datalist fieldset input".split())
+GONE = frozenset("head button select dialog svg math canvas object audio video map datalist input".split())
+FIRM_TAGS = frozenset("nav footer aside menu header".split())
+READER, FIRM, SOFT = "reader", "firm", "soft"
+JUNK_TAGS = frozenset("nav footer aside menu form fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = frozenset("br td th img wbr".split()) - {"wbr"}
 MAIN = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related "
-    "recommended comment comments disqus respond pagination pager toolbar skip login search widget".split()
-)
-WORDS = re.compile(r"[a-z]+")
+#: Class or id words: those that say it as the first or last word of a name, and those that do as the whole name.
+STRONG = frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter breadcrumb breadcrumbs disqus comments".split())
+WEAK = frozenset("sponsor promo promotion banner sidebar menu nav navbar navigation footer masthead notice notices popup modal overlay subscribe subscription signup share sharing social related recommended comment reply replies respond pagination pager toolbar skip login search widget".split())
+REMARKS = frozenset("comment comments reply replies".split())
+NAMED = frozenset("div section aside ul ol table span article li header".split())
+WORDS = re.compile(r"[a-z0-9]+")
 
 
 def junk(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is boilerplate by its kind. Inside an article its header is the title's."""
-    if tag in SKIP or (tag == "header" and not inside):
+    if tag in JUNK_TAGS or (tag == "header" and not inside):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -61,21 +73,21 @@ def junk(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id"):
+        if name in ("class", "id") and tag in NAMED:
             for part in value.split():
                 words = WORDS.findall(part)
-                if words and (words[0] in NAMES or words[-1] in NAMES):
+                if words and (REMARKS & {words[0], part} if tag == "article" else part in WEAK or words[0] in STRONG or words[-1] in STRONG):
                     return True
     return False
 
 
-def blocks(page: str) -> tuple[list[str], bool]:
-    """The text blocks that no element's kind rules out, and whether an article or main element tells the text (only its blocks are given then). Linear in the page's length."""
-    own: list[str] = []  # in an article or main
-    open_: list[str] = []  # elsewhere
+def blocks(page: str) -> list[tuple[str, int]]:
+    """The visible text blocks of a page in order, each with its kind: ARTICLE, OPEN or JUNK. Linear in the page's length."""
+    found: list[tuple[str, bool, tuple[int, ...]]] = []
     parts: list[str] = []
-    inside, skipped, depth, at, end = 0, "", 0, 0, len(page)
-    seen_main = False
+    open_: list[list] = []  # junk elements around: tag, depth of its name, number
+    marks: list[str] = []  # of each junk element: READER's, FIRM or SOFT
+    inside, gone, depth, at, end = 0, "", 0, 0, len(page)
 
     def text(piece: str) -> None:
         parts.append(html.unescape(piece) if "&" in piece else piece)
@@ -85,15 +97,15 @@ def blocks(page: str) -> tuple[list[str], bool]:
             block = " ".join("".join(parts).split())
             parts.clear()
             if block:
-                (own if inside else open_).append(block)
+                found.append((block, inside > 0, tuple(e[2] for e in open_)))
 
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
-            if not skipped:
+            if not gone:
                 text(page[at:])
             break
-        if not skipped and m.start() > at:
+        if not gone and m.start() > at:
             text(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
@@ -101,125 +113,246 @@ def blocks(page: str) -> tuple[list[str], bool]:
             continue
         tag = tag.lower()
         closing = (m[1] or m[4]) == "/"
-        if skipped:
+        if gone:
             if tag in RAW and not closing:
                 at = RAW_END[tag].search(page, at).end()
-            elif tag == skipped:
+            elif tag == gone:
                 depth += -1 if closing else 1
                 if depth == 0:
-                    skipped = ""
+                    gone = ""
             continue
         if not closing and tag in RAW:
             at = RAW_END[tag].search(page, at).end()
             continue
-        if tag in BLOCK:
+        attributes = m[3] or m[6] or ""
+        opens = not closing and tag not in VOID
+        is_junk = opens and len(open_) < 8 and junk(tag, attributes, inside > 0)
+        if tag in BLOCK or is_junk:
             close()
         elif tag in SPACED:
             parts.append(" ")
-        if closing:
-            if tag in MAIN and inside:
-                inside -= 1
+        if opens and tag in GONE:
+            gone, depth = tag, 1
             continue
-        attributes = m[3] or m[6] or ""
+        for i, e in enumerate(open_):
+            if e[0] == tag:
+                e[1] += -1 if closing else opens
+                if not e[1]:
+                    close()
+                    del open_[i:]
+                    break
+        if is_junk:
+            open_.append([tag, 1, len(marks)])
+            marks.append(READER if tag == "article" else FIRM if tag in FIRM_TAGS else SOFT)
         if tag in MAIN:
-            inside += 1
-            seen_main = True
-        if tag not in VOID and junk(tag, attributes, inside > 0):
-            close()
-            skipped, depth = tag, 1
+            inside = max(0, inside - 1) if closing else inside + 1
     close()
-    return (own, True) if seen_main else (open_, False)
-
-
-def covered(streams: list[np.ndarray], run: int = RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> list[np.ndarray]:
-    """For each page's token ids, which are covered by a run of `run` tokens that occurs on enough distinct pages."""
-    pages = len(streams)
-    need = max(min_pages, int(np.ceil(min_share * pages)))
-    sizes = np.array([len(s) for s in streams])
-    total = int(sizes.sum()) + pages
-    if pages < need or total == pages:
-        return [np.zeros(len(s), bool) for s in streams]
-    owner = np.repeat(np.arange(pages), sizes + 1)
-    top = max((int(s.max()) for s in streams if len(s)), default=0) + 1
-    flat = np.concatenate([np.append(s, top + i) for i, s in enumerate(streams)])  # each page ends with a sign of its own
-    rank = np.unique(flat, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    while have < run:  # rank by the first `have` tokens; the last step overlaps so that it ends at run exactly
+    for _, _, i in open_:  # never closed, so what it holds is uncertain
+        marks[i] = SOFT
+    return judged(found, marks)
+
+
+def judged(found: list[tuple[str, bool, tuple[int, ...]]], marks: list[str]) -> list[tuple[str, int]]:
+    """Blocks (text, whether in an article, junk elements around) with their kinds. A junk element that holds the only article isn't junk, nor is a soft one that holds most of the words that are left to judge; a reader's article is."""
+    told = any(own and not around for _, own, around in found)
+    void: set[int] = set()
+    if not told and any(own and not any(marks[i] == READER for i in around) for _, own, around in found):
+        void |= {i for _, own, around in found if own and not any(marks[i] == READER for i in around) for i in around}
+        told = True
+    sizes = [b.count(" ") + 1 for b, _, _ in found]
+    mine = [k for k, (_, own, _) in enumerate(found) if own or not told]
+    total = sum(sizes[k] for k in mine)
+    held: dict[int, int] = {}
+    for k in mine:
+        for i in found[k][2]:
+            held[i] = held.get(i, 0) + sizes[k]
+    void |= {i for i, n in held.items() if 2 * n > total and marks[i] == SOFT}
+    return [(b, JUNK if not set(around) <= void else ARTICLE if own else JUNK if told else OPEN) for b, own, around in found]
+
+
+SIGN = np.uint64(0x9E3779B97F4A7C15)
+NAMER = Shingler()
+
+
+def stream(texts: list[str]) -> np.ndarray:
+    """Token names of the blocks, a sign before each."""
+    if not texts:
+        return np.empty(0, np.uint64)
+    sizes = np.array([t.count(" ") + 1 for t in texts])
+    return np.insert(NAMER.words("\n".join(texts)), np.cumsum(sizes) - sizes, SIGN)
+
+
+def named(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Names of pairs of names."""
+    with np.errstate(over="ignore"):
+        z = (x ^ (x >> np.uint64(29))) * Shingler.MIX + y
+        z = (z ^ (z >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def suffixes(tokens: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Of each suffix with at least `run` tokens, the name of its first `run`, by prefix doubling."""
+    if len(tokens) < run:
+        return np.empty(0, np.uint64)
+    name, have = named(tokens, np.full(len(tokens), SIGN)), 1
+    while have < run:  # the last step overlaps so that it ends at run exactly
         step = min(have, run - have)
-        after = np.concatenate([rank[step:], np.full(step, -1)])
-        rank = np.unique(rank * (total + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
+        name = named(name[: len(name) - step], name[step:])
         have += step
-    order = np.lexsort((owner, rank))  # the suffix array, as deep as it matters
-    r, o = rank[order], owner[order]
-    fresh = np.concatenate([[True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])])
-    spread = np.bincount(r, weights=fresh, minlength=int(rank.max()) + 1)
-    starts = np.flatnonzero(spread[rank] >= need)
-    edge = np.zeros(total + run + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + run, -1)
-    mask = np.cumsum(edge)[:total] > 0
-    ends = np.cumsum(sizes + 1)
-    return [mask[e - n - 1 : e - 1] for e, n in zip(ends, sizes)]
-
-
-def long_runs(mask: np.ndarray, run: int = RUN) -> np.ndarray:
-    """A block that is covered whole, and else its covered stretches of at least `run` tokens: a run that only begins or ends in a block doesn't take words off it."""
-    if mask.all() or not mask.any():
-        return mask
+    return name
+
+
+def hashed(text: str) -> np.uint64:
+    return NAMER.words(text.replace(" ", "_") or "_")[0] if text.strip() else SIGN
+
+
+def spread(tokens: int, times: np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each token the largest of the times of the runs that cover it."""
+    out = np.zeros(tokens, np.int64)
+    for i in range(run if len(times) else 0):
+        np.maximum(out[i : i + len(times)], times, out=out[i : i + len(times)])
+    return out
+
+
+def stretches(mask: np.ndarray) -> np.ndarray:
+    """For each token the length of the stretch of mask that it is in, 0 outside."""
     edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-        if b - a < run:
-            mask[a:b] = False
-    return mask
-
-
-def unique_text(pages: list[list[str]]) -> list[str]:
-    """Of the blocks of each page of one group, what isn't covered. A block's begin is a token too, so that short menu entries make a run."""
-    ids: dict[str, int] = {"\n": 0}
-    streams = [np.array([i for b in page for i in (0, *(ids.setdefault(w, len(ids)) for w in b.split(" ")))], dtype=np.int64) for page in pages]
-    out = []
-    for page, mask in zip(pages, covered(streams)):
-        kept, at = [], 0
-        for b in page:
-            w = b.split(" ")
-            gone = long_runs(mask[at + 1 : at + 1 + len(w)])
-            at += 1 + len(w)
-            left = [x for x, g in zip(w, gone) if not g]
-            if left:
-                kept.append(" ".join(left))
-        out.append("\n".join(kept))
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out = np.zeros(len(mask), np.int64)
+    out[mask] = np.repeat(b - a, b - a)
     return out
 
 
-def told(page: Column) -> Column:
-    """Whether a page has an article or main element, by its text: a page without one needs its host."""
-    return F.coalesce(page, F.lit("")).rlike(r"(?i)<(?:article|main)[\s>/]")
+def main_text(page: list[tuple[str, int]], times: np.ndarray, pages: int, run: int = RUN) -> str:
+    """The text of a page, given how many distinct pages of its host, of `pages`, hold each of its runs."""
+    told = any(kind == ARTICLE for _, kind in page)
+    wanted = ARTICLE if told else OPEN
+    most = max(MOST_PAGES, pages // 2 + 1)
+    held = spread(sum(b.count(" ") + 2 for b, _ in page), times, run)
+    often = held >= most
+    gone = often if told else held >= MIN_PAGES
+    if not told:  # a long stretch is a copy or a passage, unless most pages have it
+        gone = gone & ((stretches(gone) < LONG) | often)
+    own = np.concatenate([np.full(b.count(" ") + 2, kind == wanted) for b, kind in page]) if page else gone
+    if told and 2 * (gone & own).sum() > own.sum():
+        gone = np.zeros(len(gone), bool)
+    kept, at = [], 0
+    for b, kind in page:
+        w = b.split(" ")
+        mask = gone[at + 1 : at + 1 + len(w)]
+        at += 1 + len(w)
+        if kind != wanted or (mask.all() and (not told or len(w) < LONG)):
+            continue
+        if not told and mask.any() and (out := mask & (stretches(mask) >= PART)).any():
+            b = " ".join(x for x, g in zip(w, out) if not g)
+        kept.append(b)
+    return "\n".join(kept)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row; null html counts as empty, a page without text has ''. Repeated rows are pages each, null urls make one host."""
-    three = pages.select("page_id", "url", "html")
+def parsed(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """row, page_id, url, host, content (name of its blocks), chunk, n (tokens), blocks, kinds of every page; a chunk has about so many tokens, or one page."""
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tokens = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            texts = ["\n".join(blocks(h or "")[0]) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            found = [blocks(h or "") for h in batch.column(3).to_pylist()]
+            chunks, contents, sizes = [], [], []
+            for f in found:
+                sizes.append(sum(b.count(" ") + 2 for b, _ in f))
+                tokens += sizes[-1]
+                if tokens > chunk:
+                    part, tokens = part + 1, 0
+                chunks.append(part)
+                x = stream([b for b, _ in f])
+                with np.errstate(over="ignore"):
+                    contents.append(int(named(x, np.arange(len(x), dtype=np.uint64) * SIGN).sum(dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), batch.column(2), pa.array(contents, pa.int64()), pa.array(chunks, pa.int64()), pa.array(sizes, pa.int64()),
+                    pa.array([[b for b, _ in f] for f in found], pa.list_(pa.string())), pa.array([bytes(k for _, k in f) for f in found], pa.binary()),
+                ],
+                names=["page_id", "url", "host", "content", "chunk", "n", "blocks", "kinds"],
+            )
+
+    out = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "page_id long, url string, host string, content long, chunk long, n long, blocks array<string>, kinds binary")
+    return out.withColumn("row", F.monotonically_increasing_id())
+
+
+def repeats(rows: DataFrame, run: int = RUN, bucket: int = BUCKET) -> DataFrame:
+    """chunk, names, times: for each chunk of rows the runs that at least MIN_PAGES distinct pages of a host hold, and for each of its hosts how many pages it has. A chunk has several rows."""
+    first = rows.groupBy("host", "content").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = 1 << max(3, total // bucket).bit_length()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        now = None
+
+        def out() -> pa.RecordBatch:
+            x, n = np.concatenate(names), np.concatenate(counts)
+            names.clear(), counts.clear()
+            x, i = np.unique(x, return_inverse=True)
+            n = np.bincount(i, weights=n, minlength=len(x)).astype(np.uint32)
+            low = (x & np.uint64(buckets - 1)).astype(np.int64)
+            order = np.argsort(low, kind="stable")
+            ends = np.searchsorted(low[order], np.arange(buckets + 1))
+            full = np.flatnonzero(ends[1:] > ends[:-1])
+            cut = [order[ends[k] : ends[k + 1]] for k in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([now] * len(full), pa.int64()), pa.array([x[c].tobytes() for c in cut], pa.binary()), pa.array([n[c].tobytes() for c in cut], pa.binary())], names=["bucket", "chunk", "names", "times"])
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(h or "")[0] for h in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), batch.column(2).cast(pa.string()), pa.array(found, pa.list_(pa.string())), pa.array([sum(b.count(" ") + 2 for b in f) for f in found], pa.int64())], names=["page_id", "url", "host", "blocks", "n"])
-
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = unique_text([list(b) for b in frame["blocks"]])
-        return pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    structured = three.where(told(F.col("html"))).mapInArrow(whole, SCHEMA)
-    loose = written(three.where(~told(F.col("html"))).select("page_id", "url", host_of(F.col("url")).alias("host"), "html").mapInArrow(parts, "page_id long, url string, host string, blocks array<string>, n long"), "blocks")
-    hosts = loose.groupBy("host").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("_groups"))
-    grouped = join_checked(loose, hosts, "host").withColumn("_group", F.pmod(F.xxhash64(F.lit(SEED), "page_id", "url", "blocks"), F.greatest("_groups", F.lit(1))))
-    return structured.unionByName(grouped.groupBy("host", "_group").applyInPandas(group, SCHEMA))
+            for chunk, host, texts, one in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if chunk != now and names:
+                    yield out()
+                now, h = chunk, hashed(host)
+                x = np.unique(suffixes(stream(texts), run))
+                names.append(np.append(named(x, np.full(len(x), h)), named(h[None], h[None])))
+                counts.append(np.full(len(x) + 1, int(bool(one))))
+        if names:
+            yield out()
+
+    def meet(table: pa.Table) -> pa.Table:
+        raw = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
+        n = np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint32)
+        x, i = np.unique(np.concatenate(raw), return_inverse=True)
+        times = np.bincount(i, weights=n, minlength=len(x)).astype(np.int64)[i]
+        ends = np.cumsum([0, *map(len, raw)])
+        good = [times[a:b] >= MIN_PAGES for a, b in zip(ends[:-1], ends[1:])]
+        return pa.table({"chunk": table.column("chunk"), "names": pa.array([r[g].tobytes() for r, g in zip(raw, good)], pa.binary()), "times": pa.array([times[a:b][g].tobytes() for a, b, g in zip(ends[:-1], ends[1:], good)], pa.binary())})
+
+    dealt = rows.select("row", "chunk", "host", "blocks").join(F.broadcast(first) if few else first, "row", "left").select("chunk", "host", "blocks", "first")
+    dealt = dealt.mapInArrow(deal, "bucket int, chunk long, names binary, times binary")
+    return dealt.groupBy("bucket").applyInArrow(lambda t: meet(t), "chunk long, names binary, times binary").where(F.length("names") > 0)
+
+
+def extract(pages: DataFrame, run: int = RUN, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+    """page_id, url, text, n_chars of every row; null html counts as empty, a page without text has ''. Repeated rows are pages each, null urls make one host."""
+    rows = written(parsed(pages, chunk), "pages")
+    found = written(repeats(rows, run, bucket), "repeats")
+
+    def judge(pages: pa.Table, found: pa.Table) -> pa.Table:
+        names, times = (np.frombuffer(b"".join(found.column(c).to_pylist()), kind) for c, kind in (("names", np.uint64), ("times", np.int64)))
+        names, at = np.unique(names, return_index=True)
+        times = times[at]
+
+        def look(x: np.ndarray) -> np.ndarray:
+            if not len(names):
+                return np.zeros(len(x), np.int64)
+            i = np.minimum(np.searchsorted(names, x), len(names) - 1)
+            return np.where(names[i] == x, times[i], 0)
+
+        texts = []
+        for host, own, kinds in zip(pages.column("host").to_pylist(), pages.column("blocks").to_pylist(), pages.column("kinds").to_pylist()):
+            h = hashed(host)
+            x = suffixes(stream(own), run)
+            texts.append(main_text(list(zip(own, kinds)), look(named(x, np.full(len(x), h))), int(look(named(h[None], h[None]))[0]), run))
+        return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+
+    left = rows.select("chunk", "page_id", "url", "host", "blocks", "kinds")
+    return left.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda p, f: judge(p, f), SCHEMA)

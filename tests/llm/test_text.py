@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from lattica.llm import decontam, html, licenses, near_dup, pii, quality, tokens
+from lattica.llm.common import written
 from lattica.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -357,34 +358,74 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 <article><header><h1>Title &lt;1&gt;</h1></header><p>First <b>bold</b>&nbsp;text<br>next</p><script>if (a < b) document.write("<p>no</p>")</script><!-- <p>no</p> --><p>Sec&eacute;nd &amp;amp; <a href="x>y">link</a><div class="ad">Buy</div><section id="comments"><p>Nice!</p></section><form><p>mail</p></form></article><aside><article>Other</article></aside><footer>&copy;</footer></body></html>"""
 
 
-def test_main_text_of_an_article():
-    assert html.blocks(PAGE)[0] == ["Title <1>", "First bold text next", "Secénd &amp; link"]
-    assert html.blocks("<main><p>a</p></main>")[0] == ["a"] and html.blocks("plain &amp; text")[0] == ["plain & text"]
-    assert html.blocks("")[0] == [] and html.blocks("<article><p>cut off &am")[0] == ["cut off &am"]
-
-
-def slow_cover(streams, run, need):
-    pages = defaultdict(set)
-    for p, s in enumerate(streams):
-        for i in range(len(s) - run + 1):
-            pages[tuple(s[i : i + run])].add(p)
-    out = []
-    for s in streams:
-        m = np.zeros(len(s), bool)
-        for i in range(len(s) - run + 1):
-            if len(pages[tuple(s[i : i + run])]) >= need:
-                m[i : i + run] = True
-        out.append(m)
-    return out
+def text_of(page):
+    return html.main_text(html.blocks(page), np.empty(0, np.int64), 1).split("\n")
 
 
-def test_suffix_array_covers_what_repeats():
+def test_main_text_of_an_article():
+    assert text_of(PAGE) == ["Title <1>", "First bold text next", "Secénd &amp; link"]
+    assert text_of("<main><p>a</p></main>") == ["a"] and text_of("plain &amp; text") == ["plain & text"]
+    assert html.blocks("") == [] and text_of("<article><p>cut off &am") == ["cut off &am"]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="page related"><article>t</article></div>', "t"),
+        ("<form id=x><article>t</article><input></form>", "t"),
+        ('<p class="search-result-text">t</p><p id="comment">u</p><section class="notice-board">v</section>', "t\nu\nv"),
+        ('<article>t u v w<article class="comment">no</article></article>', "t u v w"),
+        ('<article>t u v w<section id="comments"><article class="comment">no</article></section></article>', "t u v w"),
+        ('<article>t u v w<div class="ad">no</div><aside>no</aside></article><div class="related"><article>no</article></div>', "t u v w"),
+        ('<script>"<article>"</script><!-- <main> --><p>t</p>', "t"),
+        ("<nav>no<article>t</article>", "t"),
+        ('<div class="cookie-banner">no</div><p>t u v</p><nav>no</nav><footer>no no no no no</footer>', "t u v"),
+        ('<div class="share"><p>t u v</p></div><p>w</p>', "t u v\nw"),
+    ],
+)
+def test_kinds_of_elements(page, want):
+    assert "\n".join(text_of(page)) == want
+
+
+def test_runs_are_counted_by_distinct_pages_of_a_host(spark):
     rng = random.Random(11)
-    for run in (1, 2, 3, 6):
-        for _ in range(40):
-            streams = [np.array([rng.randrange(3) for _ in range(rng.randrange(0, 25))], dtype=np.int64) for _ in range(6)]
-            got = html.covered(streams, run, 3, 0.0)
-            assert all((a == b).all() for a, b in zip(got, slow_cover(streams, run, 3)))
+    pages = [(i, f"http://h{i % 2}.example/{i}", "".join(f"<p>{' '.join(rng.choice('abc') for _ in range(rng.randrange(1, 9)))}</p>" for _ in range(rng.randrange(6)))) for i in range(60)]
+    pages += [(100 + i, u, h) for i, u, h in pages[:20]]  # equal pages count once
+    seen, hosts = defaultdict(set), defaultdict(set)
+    streams = {}
+    for i, u, h in pages:
+        own = tuple(x for b, _ in html.blocks(h) for x in ("\n", *b.split()))
+        streams[i] = own
+        hosts[i % 2].add(own)
+        for k in range(len(own) - 2):
+            seen[i % 2, own[k : k + 3]].add(own)
+    rows = written(html.parsed(spark.createDataFrame(pages, "page_id long, url string, html string"), chunk=50), "pages")
+    found = defaultdict(dict)
+    for r in html.repeats(rows, run=3, bucket=16).collect():
+        found[r.chunk].update(zip(np.frombuffer(r["names"], np.uint64).tolist(), np.frombuffer(r.times, np.int64).tolist()))
+    for r in rows.collect():
+        h = html.hashed(r.host)
+        x = html.suffixes(html.stream(r.blocks), 3)
+        got = [found[r.chunk].get(int(n), 0) for n in html.named(x, np.full(len(x), h))]
+        own = streams[r.page_id]
+        want = [len(seen[r.page_id % 2, own[k : k + 3]]) for k in range(len(own) - 2)]
+        assert got == [n if n > 1 else 0 for n in want]
+        assert found[r.chunk][int(html.named(h[None], h[None])[0])] == len(hosts[r.page_id % 2])
+    assert len(found) > 5
+
+
+def test_repeats_within_articles(spark):
+    rng = random.Random(15)
+    passage = prose(rng, 80)
+    bodies = [prose(rng, 60) for _ in range(30)]
+    pages = [(i, "http://h.example/", f"<article><p>{b}</p>" + f"<p>{passage}</p>" * (i % 3 > 0) + "<p>Tell all of your friends about this fine piece</p></article>") for i, b in enumerate(bodies)]
+    pages += [(100 + i, "http://h.example/", h) for i, _, h in pages[:4]] + [(200 + i, "http://copies.example/", pages[0][2].replace("ta", "to", i)) for i in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {i: bodies[i] + ("\n" + passage if i % 3 else "") for i in range(30)}
+    for how in ({}, {"chunk": 300, "bucket": 128}):
+        text = {r.page_id: r.text for r in html.extract(df, **how).collect()}
+        assert {i: text[i] for i in want} == want and all(text[100 + i] == want[i] for i in range(4))
+        assert all(text[200 + i].startswith(bodies[0].replace("ta", "to", i)[:40]) for i in range(8))
 
 
 def test_hosts_tell_boilerplate_where_pages_dont(spark):
@@ -403,7 +444,7 @@ def test_hosts_tell_boilerplate_where_pages_dont(spark):
 
 
 def test_entities_once():
-    assert html.blocks("<article>&amp;lt; &#233; &hellip;</article>")[0] == [H.unescape("&amp;lt;") + " é …"]
+    assert text_of("<article>&amp;lt; &#233; &hellip;</article>") == [H.unescape("&amp;lt;") + " é …"]
 
 
 # Pipeline
