@@ -1,10 +1,10 @@
 """Main text of web pages: a host suffix array over token streams, with what the markup says of each block.
 
 Every page's stream holds all its visible blocks, a sign before each. Suffixes are named by their first RUN tokens
-(prefix doubling, names in place of ranks), which is as deep as the array matters, and the array is distributed: names
-are dealt to buckets by their low bits, and each bucket is sorted, where equal runs of a host meet and the distinct pages
-that hold them are counted. Equal pages of a host count once. A host of any size is judged whole, and a run that all its
-pages hold is one entry for each chunk of pages, not for each page.
+(prefix doubling, names in place of ranks), which is as deep as the array matters, and sorted, so that equal runs of a
+host meet and the distinct pages that hold them are counted. Equal pages of a host count once. One task sorts a host that
+fits it. A larger one is never split into parts that are judged apart: its names are dealt to buckets by their low bits
+and sorted there; a run that all its pages hold is one entry for each chunk of pages, not for each page.
 
 A block that other pages of its host repeat is boilerplate, unless it is part of a repeated stretch of LONG tokens that
 is not on most pages: a copy or a shared passage is text. What is left are the unique runs. The markup decides what
@@ -33,9 +33,9 @@ RUN = 6
 MIN_PAGES, MOST_PAGES = 2, 5
 #: Tokens of a repeated stretch that is a copy or a passage, and of one that goes out of the middle of a block.
 LONG, PART = 50, 20
-#: Tokens of the pages that are dealt and judged together, and of a bucket.
-CHUNK, BUCKET = 1_000_000, 1_000_000
-BROADCAST_ROWS = 500_000
+#: Bytes of html of a host that one task sorts; beyond it, tokens of the pages that are dealt and judged together, and of a bucket.
+HOST_BYTES, CHUNK, BUCKET = 16_000_000, 1_000_000, 1_000_000
+BROADCAST_ROWS = 100_000
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 ARTICLE, OPEN, JUNK = 0, 1, 2
@@ -233,19 +233,22 @@ def main_text(page: list[tuple[str, int]], times: np.ndarray, pages: int, run: i
     gone = often if told else held >= MIN_PAGES
     if not told:  # a long stretch is a copy or a passage, unless most pages have it
         gone = gone & ((stretches(gone) < LONG) | often)
-    own = np.concatenate([np.full(b.count(" ") + 2, kind == wanted) for b, kind in page]) if page else gone
-    if told and 2 * (gone & own).sum() > own.sum():
-        gone = np.zeros(len(gone), bool)
-    kept, at = [], 0
+    kept, left, all_, at = [], 0, 0, 0
     for b, kind in page:
         w = b.split(" ")
         mask = gone[at + 1 : at + 1 + len(w)]
         at += 1 + len(w)
-        if kind != wanted or (mask.all() and (not told or len(w) < LONG)):
+        if kind != wanted:
             continue
+        all_ += len(w)
+        if mask.all() and (not told or len(w) < LONG):
+            continue
+        left += len(w)
         if not told and mask.any() and (out := mask & (stretches(mask) >= PART)).any():
             b = " ".join(x for x, g in zip(w, out) if not g)
         kept.append(b)
+    if told and 2 * left < all_:  # most of an article repeats: a host of copies
+        kept = [b for b, kind in page if kind == wanted]
     return "\n".join(kept)
 
 
@@ -253,8 +256,20 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def packed(texts: list[str], kinds: bytes) -> bytes:
+    """Blocks and kinds of a page for its way through a shuffle."""
+    raw = kinds + "\n".join(["", *texts]).encode("utf-8", "surrogatepass")
+    return len(kinds).to_bytes(4, "big") + len(raw).to_bytes(5, "big") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[list[str], bytes]:
+    n = int.from_bytes(blob[:4], "big")
+    raw = pa.decompress(blob[9:], int.from_bytes(blob[4:9], "big"), codec="zstd", asbytes=True)
+    return raw[n:].decode("utf-8", "surrogatepass").split("\n")[1:], raw[:n]
+
+
 def parsed(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """row, page_id, url, host, content (name of its blocks), chunk, n (tokens), blocks, kinds of every page; a chunk has about so many tokens, or one page."""
+    """row, page_id, url, host, content (name of its blocks), chunk, n (tokens), blob (its blocks and kinds) of every page; a chunk has about so many tokens, or one page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tokens = TaskContext.get().partitionId() << 32, 0
@@ -273,12 +288,12 @@ def parsed(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), batch.column(2), pa.array(contents, pa.int64()), pa.array(chunks, pa.int64()), pa.array(sizes, pa.int64()),
-                    pa.array([[b for b, _ in f] for f in found], pa.list_(pa.string())), pa.array([bytes(k for _, k in f) for f in found], pa.binary()),
+                    pa.array([packed([b for b, _ in f], bytes(k for _, k in f)) for f in found], pa.binary()),
                 ],
-                names=["page_id", "url", "host", "content", "chunk", "n", "blocks", "kinds"],
+                names=["page_id", "url", "host", "content", "chunk", "n", "blob"],
             )
 
-    out = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "page_id long, url string, host string, content long, chunk long, n long, blocks array<string>, kinds binary")
+    out = pages.mapInArrow(run, "page_id long, url string, host string, content long, chunk long, n long, blob binary")
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -307,11 +322,11 @@ def repeats(rows: DataFrame, run: int = RUN, bucket: int = BUCKET) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([now] * len(full), pa.int64()), pa.array([x[c].tobytes() for c in cut], pa.binary()), pa.array([n[c].tobytes() for c in cut], pa.binary())], names=["bucket", "chunk", "names", "times"])
 
         for batch in batches:
-            for chunk, host, texts, one in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for chunk, host, blob, one in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if chunk != now and names:
                     yield out()
                 now, h = chunk, hashed(host)
-                x = np.unique(suffixes(stream(texts), run))
+                x = np.unique(suffixes(stream(unpacked(blob)[0]), run))
                 names.append(np.append(named(x, np.full(len(x), h)), named(h[None], h[None])))
                 counts.append(np.full(len(x) + 1, int(bool(one))))
         if names:
@@ -326,13 +341,38 @@ def repeats(rows: DataFrame, run: int = RUN, bucket: int = BUCKET) -> DataFrame:
         good = [times[a:b] >= MIN_PAGES for a, b in zip(ends[:-1], ends[1:])]
         return pa.table({"chunk": table.column("chunk"), "names": pa.array([r[g].tobytes() for r, g in zip(raw, good)], pa.binary()), "times": pa.array([times[a:b][g].tobytes() for a, b, g in zip(ends[:-1], ends[1:], good)], pa.binary())})
 
-    dealt = rows.select("row", "chunk", "host", "blocks").join(F.broadcast(first) if few else first, "row", "left").select("chunk", "host", "blocks", "first")
+    dealt = rows.select("row", "chunk", "host", "blob").join(F.broadcast(first) if few else first, "row", "left").select("chunk", "host", "blob", "first")
     dealt = dealt.mapInArrow(deal, "bucket int, chunk long, names binary, times binary")
     return dealt.groupBy("bucket").applyInArrow(lambda t: meet(t), "chunk long, names binary, times binary").where(F.length("names") > 0)
 
 
-def extract(pages: DataFrame, run: int = RUN, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
-    """page_id, url, text, n_chars of every row; null html counts as empty, a page without text has ''. Repeated rows are pages each, null urls make one host."""
+def small_hosts(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """extract for pages (page_id, url, host, html) of hosts that fit one task each: the array of a host is sorted there."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blocks(h or "") for h in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), batch.column(2), pa.array([packed([b for b, _ in f], bytes(k for _, k in f)) for f in found], pa.binary())], names=["page_id", "url", "host", "blob"])
+
+    def judge(table: pa.Table) -> pa.Table:
+        order: dict[bytes, int] = {}
+        which = [order.setdefault(b, len(order)) for b in table.column("blob").to_pylist()]  # equal pages are judged once
+        own = [unpacked(b) for b in order]
+        names = [suffixes(stream(t), run) for t, _ in own]
+        x, i = np.unique(np.concatenate(names), return_inverse=True)
+        page = np.repeat(np.arange(len(own)), [len(n) for n in names])
+        first = np.unique(i * len(own) + page) // len(own)  # a page counts once for each of its runs
+        times = np.bincount(first, minlength=len(x))[i]
+        ends = np.cumsum([0, *map(len, names)])
+        texts = [main_text(list(zip(t, kinds)), times[a:b], len(own), run) for (t, kinds), a, b in zip(own, ends[:-1], ends[1:])]
+        text = [texts[k] for k in which]
+        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
+
+    return pages.mapInArrow(parse, "page_id long, url string, host string, blob binary").groupBy("host").applyInArrow(lambda t: judge(t), SCHEMA)
+
+
+def large_hosts(pages: DataFrame, run: int = RUN, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+    """extract for pages (page_id, url, host, html) of any hosts: the array is distributed."""
     rows = written(parsed(pages, chunk), "pages")
     found = written(repeats(rows, run, bucket), "repeats")
 
@@ -348,11 +388,25 @@ def extract(pages: DataFrame, run: int = RUN, chunk: int = CHUNK, bucket: int =
             return np.where(names[i] == x, times[i], 0)
 
         texts = []
-        for host, own, kinds in zip(pages.column("host").to_pylist(), pages.column("blocks").to_pylist(), pages.column("kinds").to_pylist()):
-            h = hashed(host)
+        for host, blob in zip(*(pages.column(c).to_pylist() for c in ("host", "blob"))):
+            (own, kinds), h = unpacked(blob), hashed(host)
             x = suffixes(stream(own), run)
             texts.append(main_text(list(zip(own, kinds)), look(named(x, np.full(len(x), h))), int(look(named(h[None], h[None]))[0]), run))
         return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    left = rows.select("chunk", "page_id", "url", "host", "blocks", "kinds")
+    left = rows.select("chunk", "page_id", "url", "host", "blob")
     return left.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda p, f: judge(p, f), SCHEMA)
+
+
+def extract(pages: DataFrame, run: int = RUN, host_bytes: int = HOST_BYTES, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+    """page_id, url, text, n_chars of every row; null html counts as empty, a page without text has ''. Repeated rows are pages each, null urls make one host.
+
+    A host of at most host_bytes of html is one task's; the array of a larger one is distributed, with the same result.
+    """
+    three = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    large = written(three.groupBy("host").agg(F.sum(F.octet_length(F.col("html").cast("string"))).alias("n")).where(F.col("n") > host_bytes).select("host"), "hosts")
+    n = large.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return small_hosts(three, run)
+    names = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    return small_hosts(three.join(names, "host", "left_anti").select(*three.columns), run).unionByName(large_hosts(three.join(names, "host", "left_semi").select(*three.columns), run, chunk, bucket))

@@ -399,13 +399,14 @@ def test_runs_are_counted_by_distinct_pages_of_a_host(spark):
         hosts[i % 2].add(own)
         for k in range(len(own) - 2):
             seen[i % 2, own[k : k + 3]].add(own)
-    rows = written(html.parsed(spark.createDataFrame(pages, "page_id long, url string, html string"), chunk=50), "pages")
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = written(html.parsed(rows.select("page_id", "url", html.host_of(rows.url).alias("host"), "html"), chunk=50), "pages")
     found = defaultdict(dict)
     for r in html.repeats(rows, run=3, bucket=16).collect():
         found[r.chunk].update(zip(np.frombuffer(r["names"], np.uint64).tolist(), np.frombuffer(r.times, np.int64).tolist()))
     for r in rows.collect():
         h = html.hashed(r.host)
-        x = html.suffixes(html.stream(r.blocks), 3)
+        x = html.suffixes(html.stream(html.unpacked(r.blob)[0]), 3)
         got = [found[r.chunk].get(int(n), 0) for n in html.named(x, np.full(len(x), h))]
         own = streams[r.page_id]
         want = [len(seen[r.page_id % 2, own[k : k + 3]]) for k in range(len(own) - 2)]
@@ -422,7 +423,7 @@ def test_repeats_within_articles(spark):
     pages += [(100 + i, "http://h.example/", h) for i, _, h in pages[:4]] + [(200 + i, "http://copies.example/", pages[0][2].replace("ta", "to", i)) for i in range(8)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     want = {i: bodies[i] + ("\n" + passage if i % 3 else "") for i in range(30)}
-    for how in ({}, {"chunk": 300, "bucket": 128}):
+    for how in ({}, {"host_bytes": 100, "chunk": 300, "bucket": 128}):
         text = {r.page_id: r.text for r in html.extract(df, **how).collect()}
         assert {i: text[i] for i in want} == want and all(text[100 + i] == want[i] for i in range(4))
         assert all(text[200 + i].startswith(bodies[0].replace("ta", "to", i)[:40]) for i in range(8))
@@ -436,6 +437,7 @@ def test_hosts_tell_boilerplate_where_pages_dont(spark):
     pages += [(100, "http://other.example/", f"<body>{menu}<div>lone page</div></body>"), (101, None, None), (102, "http://x.example/", PAGE), (102, "http://x.example/", PAGE)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = html.extract(df).collect()
+    assert Counter(got) == Counter(html.extract(df, host_bytes=100, chunk=100, bucket=64).collect())
     assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got)
     text = {r.page_id: r.text for r in got}
     assert [text[i] for i in range(30)] == bodies
