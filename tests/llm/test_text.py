@@ -352,6 +352,39 @@ def test_bounds_lose_no_window():
         assert not found or abs(max(f[3] for f in found) - best) < 1e-9 or best >= 0.8
 
 
+def test_bounds_lose_no_window_of_a_long_template():
+    rng = random.Random(16)
+    names = [f"w{i}" for i in range(40)]
+    template = [rng.choice(names) for _ in range(260)]
+    for share in (0.02, 0.1, 0.2, 0.3):
+        text = [x if rng.random() > share else rng.choice(names) for x in template[rng.randrange(30) :]]
+        text = [f"x{i}" for i in range(30)] + text + [f"y{i}" for i in range(30)]
+        best = max(slow_dice(text[i:j], template) for i in range(0, 90) for j in range(len(text) - 90, len(text) + 1))
+        found = licenses.Templates([("T", " ".join(template))]).scan(" ".join(text))
+        assert bool(found) == (best >= 0.8) and all(abs(f[3] - best) < 1e-9 for f in found)
+
+
+def test_siblings_get_their_own_ids():
+    scan = licenses.standard().scan
+    rng = random.Random(17)
+    for id_, text in licenses.TEMPLATES + licenses.whole_texts():
+        for t in (text, "/* " + text.replace("\n", "\n * ") + " */ " + prose(rng, 40)):
+            names = {x[0] for x in scan(t)}
+            assert id_ in names and (len(names) == 1 or len(text) > 3000), (id_, names)
+    old = licenses.gnu("GNU General Public License", "2").replace("is free software: you", "is free software; you")
+    assert [x[0] for x in scan(old)] == ["GPL-2.0"]
+    assert [x[0] for x in scan(licenses.TEMPLATES[2][1] + " " + old)] == ["MIT", "GPL-2.0"]
+
+
+def test_many_repeats_stay_linear():
+    import time
+
+    began = time.time()
+    assert len(licenses.standard().scan("All rights reserved. " * 100_000)) == 100_000
+    assert licenses.Templates([("B", "one two three"), ("A", "one two three")]).scan("one two three")[0][0] == "A"
+    assert time.time() - began < 20
+
+
 # Main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style></head><body><header>Site</header><nav><ul><li>Home</li></ul></nav><div class="cookie-banner">We use cookies</div>
