@@ -1,9 +1,9 @@
 """Quality rules with an isolation forest on rule statistics.
 
-Base rules reject short and repetitive texts outright. The rest is judged by an isolation forest: the path lengths of a
-document's statistics over random splits, fitted on a bounded sample of labelled rows, give a score; the threshold is
-calibrated on all labelled rows, so that at most GOOD_LOSS of the rows labelled good (and not rejected by the base
-rules) are above it. Statistics cost one pass over the texts; fitting and scoring see only numbers.
+Base rules reject short and repetitive texts outright. The rest is judged by two isolation forests, of repetition and of
+form: the path lengths of a document's statistics over random splits, fitted on a bounded sample of labelled rows, give
+scores; thresholds are calibrated on all labelled rows, so that at most GOOD_LOSS of the rows labelled good (and not
+rejected by the base rules) are above one. Statistics cost one pass over the texts; fitting and scoring see only numbers.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lattica.llm.common import SPACE, written
+from lattica.llm.common import SPACE, fresh, written
 
 #: At most so many labelled rows are fitted on; they are those with the smallest hash of doc_id.
 SAMPLE_ROWS = 8_192
@@ -58,11 +60,14 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > 50 * n_words)
 
 
-def features(s: dict[str, np.ndarray]) -> np.ndarray:
-    """The rule ratios of each document: word length and the shares of symbols, capitals and marks. Repetition is the base rules' business; among the ratios it would only hide the rest, as short texts repeat by chance."""
+def features(s: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """The statistics of the rules as ratios, in two groups: repetition (doubled lines, repeated words, length) and form (word length, symbols, capitals, marks). Each has a forest of its own, as among the ratios of one the other's would be hidden: short texts repeat by chance."""
     x = {k: np.asarray(v, dtype=np.float64) for k, v in s.items()}
     words, chars = np.maximum(x["n_words"], 1), np.maximum(x["word_chars"], 1)
-    return np.column_stack([chars / words, x["n_symbols"] / chars, x["n_upper"] / chars, x["n_marks"] / chars])
+    return [
+        np.column_stack([x["n_dup_lines"] / words, x["n_repeat_words"] / words, np.log(words)]),
+        np.column_stack([chars / words, x["n_symbols"] / chars, x["n_upper"] / chars, x["n_marks"] / chars]),
+    ]
 
 
 class Forest:
@@ -117,16 +122,20 @@ class Forest:
 
 
 class Judge:
-    """A fitted forest and its threshold; without labelled rows it rejects nothing beyond the base rules."""
+    """Fitted forests and their thresholds; without labelled rows it rejects nothing beyond the base rules."""
 
-    def __init__(self, forest: Forest | None = None, threshold: float = 2.0) -> None:
-        self.forest, self.threshold = forest, threshold
+    def __init__(self, forests: list[Forest] | None = None, thresholds: list[float] | None = None) -> None:
+        self.forests, self.thresholds = forests or [], thresholds or [1.0] * len(forests or [])
+
+    def each(self, s: dict[str, np.ndarray]) -> list[np.ndarray]:
+        return [f.score(x) for f, x in zip(self.forests, features(s))] if len(s["n_words"]) else [np.zeros(0)] * len(self.forests)
 
     def scores(self, s: dict[str, np.ndarray]) -> np.ndarray:
-        return self.forest.score(features(s)) if self.forest and len(s["n_words"]) else np.zeros(len(s["n_words"]))
+        """The largest of the forests' scores over their thresholds: 1 and more is anomalous."""
+        return np.max([np.zeros(len(s["n_words"])), *(x / t for x, t in zip(self.each(s), self.thresholds))], axis=0)
 
     def kept(self, s: dict[str, np.ndarray], scores: np.ndarray) -> np.ndarray:
-        return ~base_failed(s["n_words"], s["n_repeat_words"]) & (scores < self.threshold)
+        return ~base_failed(s["n_words"], s["n_repeat_words"]) & (scores < 1)
 
 
 def text_stats(texts: list) -> dict[str, np.ndarray]:
@@ -161,8 +170,9 @@ def with_scores(numbers: DataFrame, judge: Judge) -> DataFrame:
 def fit(numbers: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, good_loss: float = GOOD_LOSS) -> Judge:
     """numbers: doc_id and STATS. labels: doc_id, quality (1 good, 0 bad, null ignored; an id that is labelled twice has its lowest).
 
-    The forest is fitted on the sample, good and bad alike: bad rows are rare there, hence short paths. The threshold is
-    the lowest of BINS steps with at most good_loss of all rows labelled good at or above it.
+    The forests are fitted on the sample, good and bad alike: bad rows are rare there, hence short paths. Each one's
+    threshold is the lowest of BINS steps with at most its part of good_loss of all rows labelled good at or above it; the
+    second may use what the first leaves.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = written(numbers.join(marks, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select(*STATS, "quality", F.xxhash64(F.lit(SEED), "doc_id").alias("_h")), "labelled")
@@ -171,14 +181,24 @@ def fit(numbers: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, g
     sample = rows.where(F.shiftrightunsigned("_h", 11) <= int(min(1.0, share) * 2**53)).orderBy("_h", *STATS).limit(sample_rows).toPandas()
     if len(sample) < 2:
         return Judge()
-    forest = Forest(features({k: sample[k].to_numpy() for k in STATS}))
-    scored = with_scores(rows.where("quality = 1").select(*STATS), Judge(forest))
-    counts = dict(scored.groupBy(F.floor(F.col("score") * BINS).cast("int").alias("b")).count().collect())
-    total, above, b = sum(counts.values()), 0, BINS + 1
-    while b > 0 and above + counts.get(b - 1, 0) <= good_loss * total:
-        b -= 1
-        above += counts.get(b, 0)
-    return Judge(forest, b / BINS)
+    judge = Judge([Forest(x) for x in features({k: sample[k].to_numpy() for k in STATS})])
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(judge.each({k: batch.column(k).to_numpy(zero_copy_only=False) for k in STATS})):
+                b, n = np.unique((x * BINS).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), i)), pa.array(b), pa.array(n.astype(np.int64))], names=["forest", "bin", "n"])
+
+    counts = {(r.forest, r.bin): r.n for r in rows.where("quality = 1").select(*STATS).mapInArrow(binned, "forest long, bin long, n long").groupBy("forest", "bin").agg(F.sum("n").alias("n")).collect()}
+    left = good_loss * sum(n for (f, _), n in counts.items() if f == 0)
+    for i in range(len(judge.forests)):
+        own = {b: n for (f, b), n in counts.items() if f == i}
+        above, b = 0, BINS + 1
+        while b > 1 and above + own.get(b - 1, 0) <= left / (len(judge.forests) - i):
+            b -= 1
+            above += own.get(b, 0)
+        judge.thresholds[i], left = b / BINS, left - above
+    return judge
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, good_loss: float = GOOD_LOSS) -> DataFrame:
@@ -188,12 +208,25 @@ def judge_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, good_loss: float = GOOD_LOSS) -> DataFrame:
-    """The rows of docs that are kept, all their columns; the texts don't move, their statistics are taken again instead."""
-    judge = fit(written(with_stats(docs), "stats"), labels, sample_rows, good_loss)
+    """The rows of docs that are kept, all their columns, whatever their names. What the base rules pass is written with its statistics, which are taken once; the forests see only those."""
+    (name,) = fresh(docs.columns, "stats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = text_stats(batch.column("text").to_pylist())
-            yield batch.filter(pa.array(judge.kept(s, judge.scores(s))))
-
-    return docs.mapInArrow(run, docs.schema)
+            flat = pa.array(np.column_stack([s[k] for k in STATS]).reshape(-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(STATS), dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, name]).filter(pa.array(~base_failed(s["n_words"], s["n_repeat_words"])))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
+    passed = written(docs.mapInArrow(run, schema), "passed")
+    numbers = [F.get(name, F.lit(i)).alias(k) for i, k in enumerate(STATS)]
+    judge = fit(passed.select("doc_id", *numbers), labels, sample_rows, good_loss)
+
+    @F.pandas_udf("boolean")
+    def good(stats: pd.Series) -> pd.Series:
+        x = np.stack(stats.to_numpy()) if len(stats) else np.zeros((0, len(STATS)), np.int64)
+        s = {k: x[:, i] for i, k in enumerate(STATS)}
+        return pd.Series(judge.kept(s, judge.scores(s)))
+
+    return passed.where(good(F.col(name))).drop(name)

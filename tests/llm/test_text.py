@@ -156,9 +156,19 @@ def test_forest_isolates_and_threshold_spares_good_rows(spark):
     got = {r.doc_id: r for r in quality.judge_quality(docs_of(spark, good + bad + short), labels, good_loss=0.005).collect()}
     assert sum(got[i].kept for i, _ in good) >= 395 and sum(got[i].kept for i, _ in bad) <= 2
     assert all(got[i].base_failed and not got[i].kept for i, _ in short)
-    kept = quality.keep_good(docs_of(spark, good + bad + short), labels, good_loss=0.005)
+    kept = quality.keep_good(docs_of(spark, good + bad + short).withColumnRenamed("n_chars", "stats_"), labels, good_loss=0.005)
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
-    assert kept.columns == docs_of(spark, good).columns
+    assert kept.columns == ["doc_id", "text", "lang", "source", "stats_"]
+
+
+def test_forest_of_repetition(spark):
+    rng = random.Random(18)
+    line = prose(rng, 12)
+    good = [(i, prose(rng, 150)) for i in range(400)]
+    bad = [(1000 + i, prose(rng, 120) + "\n" + f"{line}\n" * 4) for i in range(8)]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)] + [(1000, 0), (1001, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judge_quality(docs_of(spark, good + bad), labels, good_loss=0.02).collect()}
+    assert not any(got[i].base_failed for i, _ in bad) and sum(got[i].kept for i, _ in bad) <= 1 and sum(got[i].kept for i, _ in good) >= 385
 
 
 def test_quality_without_labels_and_of_odd_rows(spark):
