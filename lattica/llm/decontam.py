@@ -7,7 +7,8 @@ on, so that few edits become few differing places. Tables of sampled places, ove
 that shares a table with the item is a candidate, and candidates are verified by exact edit distance.
 
 Only windows that can match are embedded: k edits leave at least n - q + 1 - k q of an item's q-grams in place, so a
-window with fewer hits is out for certain. This bound loses nothing.
+window with fewer hits is out for certain. This bound loses nothing. The LSH has its target recall for items of some
+hundred words; longer walks drift apart. So it sets the order: what it proposes is verified first, then what it doesn't.
 
 Items are used in blocks of at most BLOCK_WORDS words, and a pass over the documents is made for each block; so what is
 sent to the executors is bounded whatever the benchmark's size.
@@ -30,6 +31,8 @@ from lattica.llm.common import written
 SIMILARITY = 0.8
 WALKS, TABLES, SAMPLED, SEED = 8, 48, 3, 10_007
 BLOCK_WORDS = 400_000
+#: Steps of walks that are held at a time.
+WALK_CELLS = 4_000_000
 
 SCHEMA = "doc_id long, item_id long, start long, end long, distance int, similarity double"
 TOKENS = re.compile(r"\w+")
@@ -44,18 +47,34 @@ def gram_size(n: int) -> int:
     return 1 if n == 1 else 2 if n in (2, 5) else 3
 
 
+def _scores(item: list[int], text: list[int], anchored: bool) -> Iterator[int]:
+    """For each place in text the fewest edits from item to a stretch that ends there, or, if anchored, to all of text up to there. Columns are bit vectors (Myers, 1999; Hyyrö, 2003), so a text costs its length times n / 64."""
+    n = len(item)
+    at: dict[int, int] = {}
+    for i, x in enumerate(item):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << n) - 1, 1 << n - 1
+    up, down, score, first = full, 0, n, int(anchored)
+    for y in text:
+        same = at.get(y, 0)
+        vertical = same | down
+        across = ((same & up) + up & full ^ up) | same
+        more, fewer = down | full ^ (across | up), up & across
+        score += bool(more & last) - bool(fewer & last)
+        more, fewer = (more << 1 | first) & full, fewer << 1 & full
+        up, down = fewer | full ^ (vertical | more), more & vertical
+        yield score
+
+
 def substring_distance(item: list[int], text: list[int], most: int) -> tuple[int, int, int]:
-    """(distance, start, end) of the stretch of text with the fewest edits from item, the first to end, the latest to start; distance most + 1 if none is within most (Sellers, 1980)."""
-    row = [(0, j) for j in range(len(text) + 1)]
-    for i, x in enumerate(item, 1):
-        new = [(i, 0)]
-        for j, y in enumerate(text, 1):
-            a, b, c = row[j - 1], row[j], new[j - 1]
-            best = min((a[0] + (x != y), -a[1]), (b[0] + 1, -b[1]), (c[0] + 1, -c[1]))
-            new.append((best[0], -best[1]))
-        row = new
-    d, neg, j = min((d, j, s) for j, (d, s) in enumerate(row))
-    return (d, row[neg][1], neg) if d <= most else (most + 1, 0, 0)
+    """(distance, start, end) of the stretch of text with the fewest edits from item, the first to end, the latest to start; distance most + 1 if none is within most."""
+    d, end = min(((s, j) for j, s in enumerate(_scores(item, text, False), 1)), default=(len(item), 0))
+    if d > most:
+        return most + 1, 0, 0
+    if d == len(item):
+        return d, 0, 0
+    back = _scores(item[::-1], text[end - 1 :: -1] if end else [], True)
+    return d, end - next(j for j, s in enumerate(back, 1) if s == d), end
 
 
 class Embedding:
@@ -66,7 +85,11 @@ class Embedding:
         self.places = self.rng.random((walks, tables, sampled))
 
     def embed(self, windows: np.ndarray, end: int) -> np.ndarray:
-        """windows: (m, n) word ids. (m, walks, tables, sampled) word ids at the sampled places; `end` beyond the last word."""
+        """windows: (m, n) word ids. (m, walks, tables, sampled) word ids at the sampled places; `end` beyond the last word. Walks are held for some windows at a time, WALK_CELLS steps or one window."""
+        each = max(1, WALK_CELLS // (2 * windows.shape[1] * self.walks))
+        return np.concatenate([self._embed(windows[i : i + each], end) for i in range(0, len(windows), each)])
+
+    def _embed(self, windows: np.ndarray, end: int) -> np.ndarray:
         m, n = windows.shape
         length = 2 * n
         padded = np.concatenate([windows, np.full((m, 1), end, np.int64)], axis=1)
@@ -143,24 +166,27 @@ class Index:
         return sorted(found)
 
     def _verify(self, item: int, own: np.ndarray, k: int, ids: np.ndarray, starts: list[int]) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the item's best stretch. Windows that a table proposes come first; the rest of what the bound lets pass is verified too, so that a walk that drifts apart loses nothing."""
         n = len(own)
         padded = np.concatenate([np.full(n, -3, np.int64), ids, np.full(n + k, -3, np.int64)])
         if item not in self.embedded:
             self.embedded[item] = self.embedding.embed(own[None, :], -1)
-        best, until = None, -1
+        parts = []  # (whether proposed, first, end) of stretches that hold all matches of their windows
         for a in range(0, len(starts), 256):
             part = starts[a : a + 256]
             windows = np.stack([padded[n + s : 2 * n + s] for s in part])
-            for s in np.array(part)[self.embedding.candidates(self.embedded[item], windows)].tolist():
-                if s < until:  # within the stretch that the last candidate searched
-                    continue
+            proposed = self.embedding.candidates(self.embedded[item], windows)
+            for s, good in zip(part, proposed.tolist()):
                 low, high = max(0, s - k), min(len(ids), s + n + 2 * k)
-                until = s + k
-                d, b, e = substring_distance(own.tolist(), ids[low:high].tolist(), k)
-                if d <= k and (best is None or d < best[0]):
-                    best = (d, low + b, low + e)
-                if best and best[0] == 0:
-                    return best
+                if parts and low <= parts[-1][2]:
+                    parts[-1] = (parts[-1][0] or good, parts[-1][1], max(high, parts[-1][2]))
+                else:
+                    parts.append((good, low, high))
+        best = None
+        for _, low, high in sorted(parts, key=lambda p: not p[0]):
+            d, b, e = substring_distance(own.tolist(), ids[low:high].tolist(), k)
+            if d <= k and (best is None or (d, low + e) < (best[0], best[2])):
+                best = (d, low + b, low + e)
         return best
 
 
