@@ -39,10 +39,24 @@ def test_shards_hold_their_law(spark):
     again = sharding.shard(docs_of(spark, rows).repartition(3), bucket_rows=64).toPandas()
     key = ["doc_id", "size", "text_crc32", "shard", "slot"]
     assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, again[key].values))
-    # Copies of one row are spread over the shards.
+    # A group larger than a shard is spread over the shards.
     assert got[got.text_crc32 == zlib.crc32(b"hot")].shard.nunique() == 40
 
 
+def test_equal_texts_share_a_shard(spark):
+    texts = [f"t{i}" for i in range(400)] + [f"g{i}" for i in range(60) for _ in range(2 + i % 7)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(5000, "null", "s")] * 3 + [(6000 + i, None, "s") for i in range(4)]
+    got = sharding.shard(docs_of(spark, rows), shards=8, bucket_rows=16).toPandas()
+    assert got.groupby("text_crc32").shard.nunique().max() == 1
+    counts = got.groupby("shard").size()
+    assert len(counts) == 8 and counts.max() - counts.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    # Few other rows: groups fill the shards, and only what doesn't fit is split.
+    rows = [(i, f"g{i // 9}", "s") for i in range(9 * 40)] + [(1000, "x", "s")]
+    got = sharding.shard(docs_of(spark, rows), shards=8, bucket_rows=16).toPandas()
+    counts = got.groupby("shard").size()
+    assert counts.max() - counts.min() <= 1 and (got.groupby("text_crc32").shard.nunique() > 1).sum() <= 16
+
+
 def test_shuffle_is_uniform(spark):
     got = sharding.scatter_shuffle(spark.range(4000).withColumnRenamed("id", "doc_id"), bucket_rows=500).toPandas().sort_values("position")
     assert sorted(got.position) == list(range(4000))
@@ -57,12 +71,12 @@ def test_shards_of_odd_rows_and_of_none(spark):
     assert sharding.shard(docs_of(spark, ODD).limit(0)).count() == 0
 
 
-def test_written_shards_are_the_records(spark, tmp_path):
-    rows = [(i, f"text {i}", "s") for i in range(100)] + [(1, "text 1", "s")] * 3
-    sharding.write_shards(docs_of(spark, rows), str(tmp_path / "out"), shards=4)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert Counter((r.doc_id, r.text, r.source) for r in back.collect()) == Counter(rows)
-    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [25, 26, 26, 26]
+def test_written_shards_are_the_records(spark):
+    rows = [(i, f"text {i}", "s") for i in range(100)] + [(7, "text 7", "s")] * 3
+    docs = docs_of(spark, rows).withColumnRenamed("lang", "shard").withColumnRenamed("n_chars", "Slot")
+    back, shard, slot = sharding.write_shards(docs, shards=4)
+    assert Counter(map(tuple, back.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    assert sorted(r["count"] for r in back.groupBy(shard).count().collect()) == [25, 26, 26, 26] and slot not in docs.columns
 
 
 def fill(sizes, weights=(1, 2, 3)):
