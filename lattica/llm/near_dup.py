@@ -35,7 +35,7 @@ SHINGLE, CONTAINMENT = 5, 0.8
 BANDS, MISS, NEAR, SEED = 72, 0.001, 3, 60_013
 SIGMAS = 4.0
 #: About how many entries are in one bucket of the last round, and how many texts are sampled for its hot shingles.
-BUCKET, SAMPLED_NODES = 4_000_000, 8_192
+BUCKET, SAMPLED_NODES = 1_000_000, 8_192
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -319,7 +319,7 @@ def shared_shingles(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET) ->
                     sets.append(shingle(text.as_py()))
                     at.append((node[i], label[i]))
                     held += len(sets[-1])
-                    if held >= 1 << 21:
+                    if held >= 1 << 19:
                         yield cut(sets, *map(np.array, zip(*at)))
                         sets, at, held = [], [], 0
             if sets:
