@@ -33,9 +33,10 @@ from lattica.plans.lineage import forget
 
 SHINGLE, CONTAINMENT = 5, 0.8
 BANDS, MISS, NEAR, SEED = 72, 0.001, 3, 60_013
-SIGMAS = 4.0
+#: Candidates whose signatures agree in so many standard deviations less than those of a link at the threshold aren't checked by the ensemble; the last round finds the links among them.
+SIGMAS = 2.0
 #: About how many entries are in one bucket of the last round, and how many texts are sampled for its hot shingles.
-BUCKET, SAMPLED_NODES = 1_000_000, 8_192
+BUCKET, SAMPLED_NODES = 4_000_000, 8_192
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -308,7 +309,8 @@ def shared_shingles(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET) ->
                     i, j = ends[k], ends[k + 1]
                     first = np.flatnonzero(np.concatenate([[True], own[at[i + 1 : j]] != own[at[i : j - 1]]]))
                     doc = own[at[i:j]][first]
-                    out.append((k, flag, node[doc].tobytes(), label[doc].tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), key[i:j].tobytes()))
+                    other = np.flatnonzero(label[doc] != node[doc])  # most labels are their node
+                    out.append((k, flag, node[doc].tobytes(), np.concatenate([other, label[doc][other]]).tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), key[i:j].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.bool_()), *[pa.array([r[c] for r in out], pa.binary()) for c in range(2, 6)]], names=["bucket", "hot", *parts])
 
         with np.errstate(over="ignore"):
@@ -329,7 +331,12 @@ def shared_shingles(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET) ->
         """The shingles of one bucket that are shared between labels."""
         flag = np.array(rows.column("hot").to_pylist())
         raw = {c: rows.column(c).to_pylist() for c in parts}
-        node, label = (np.frombuffer(b"".join(raw[c]), np.int64) for c in ("node", "label"))
+        node = np.frombuffer(b"".join(raw["node"]), np.int64)
+        label, i = node.copy(), 0
+        for own, other in zip(raw["node"], raw["label"]):
+            at, to = np.frombuffer(other, np.int64).reshape(2, -1)
+            label[i + at] = to
+            i += len(own) // 8
         unique, doc = np.unique(node, return_inverse=True)
         of = np.empty(len(unique), np.int64)
         of[doc] = label
