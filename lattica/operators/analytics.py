@@ -37,15 +37,16 @@ def seed_rule(entries: tuple[str, ...] = ENTRY_PATTERNS, tests: tuple[str, ...]
     return reduce(lambda a, b: a | b, [F.coalesce(r, F.lit(False)) for r in rules])
 
 
-def dead_code(nodes: DataFrame, edges: DataFrame, project: str | None = None, labels: tuple[str, ...] = ("Function", "Method"), **options: object) -> DataFrame:
+def dead_code(nodes: DataFrame, edges: DataFrame, project: str | None = None, labels: tuple[str, ...] = ("Function", "Method"), seeds: DataFrame | None = None, **options: object) -> DataFrame:
     """Functions that no seed reaches: name, qualifiedName, filePath, startLine, language, confidence, reason; by qualified name.
 
-    confidence: Low if some CALLS edge points at it, Medium if any other edge does (DEFINES counts), High if none.
+    seeds (id) replaces the rules' own. confidence: Low if some CALLS edge points at it, Medium if any other edge does (DEFINES counts), High if none.
     """
     functions = nodes.where(F.col("label").isin(*labels))
     if project:
         functions = functions.where(F.col("project") == project)
-    seeds = functions.where(seed_rule(**options)).select("id").union(edges.where("type = 'REEXPORTS'").select("target")).union(nodes.where(~F.col("label").isin(*labels)).select("id")).distinct()
+    if seeds is None:
+        seeds = functions.where(seed_rule(**options)).select("id").union(edges.where("type = 'REEXPORTS'").select("target")).union(nodes.where(~F.col("label").isin(*labels)).select("id")).distinct()
     live = closure(edges.where(F.col("type").isin(*LIVE_TYPES)), seeds)
     called = edges.where("type = 'CALLS'").select(F.col("target").alias("id")).distinct().withColumn("_called", F.lit(True))
     other = edges.where("type <> 'CALLS'").select(F.col("target").alias("id")).distinct().withColumn("_other", F.lit(True))

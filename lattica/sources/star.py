@@ -76,8 +76,8 @@ EDGES_SQL = "\nUNION ALL ".join(
         _edge("WRITES", _id("c", "o_custkey"), _id("o", "o_orderkey"), "{orders} JOIN {customer} ON c_custkey = o_custkey " + _PLACE % "c_nationkey" + " WHERE o_orderstatus = 'F'", "0.75"),
         _edge("DATAFLOWS", _id("c", "c_custkey"), _id("c", "((c_custkey * 5 + 2) % n)"), _C + " CROSS JOIN " + _N + " WHERE c_custkey % 3 = 0", "0.8", line="CAST(c_custkey % 9 AS BIGINT)"),
         _edge("DATAFLOWS", _id("c", "c_custkey"), _id("s", "c_custkey % 25"), _C + " WHERE c_custkey % 4 = 0", "0.85"),
-        _edge("EXTENDS", _id("p", "p_partkey"), _id("p", "CAST(floor(p_partkey / 2) AS BIGINT)"), _PART + " WHERE p_partkey > 0 AND p_partkey < 400", "0.95"),
-        _edge("IMPLEMENTS", _id("p", "p_partkey"), _id("p", "p_partkey + 1"), _PART + " WHERE p_partkey % 17 = 0 AND p_partkey < 200", "0.9"),
+        _edge("EXTENDS", _id("p", "p_partkey"), _id("p", "CAST(floor(p_partkey / 2) AS BIGINT)"), _PART + " WHERE p_partkey > 0", "0.95"),
+        _edge("IMPLEMENTS", _id("p", "p_partkey"), _id("p", "p_partkey + 1"), _PART + " WHERE p_partkey % 17 = 0", "0.9"),
         _edge("HANDLES_ROUTE", _id("h", "s_suppkey"), _id("r", "(s_suppkey * 10) % 200"), _SUP + " WHERE s_suppkey % 4 = 0"),
         _edge("HANDLES", _id("h", "s_suppkey"), _id("e", "((s_suppkey * 25) % 200 + 1)"), _SUP + " WHERE s_suppkey % 4 = 0"),
         _edge("USES", _id("w", "s_suppkey"), _id("h", "s_suppkey"), _SUP + " WHERE s_suppkey % 8 = 0"),
