@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators import resolve as R
-from lattica.plans.lineage import cut
+from lattica.plans.lineage import cut, forget
 from lattica.schema import EDGE, NODE
 from lattica.sources.extract import extract, tables
 from lattica.sources.files import GraphStore, conform, diff_files, discover, unique_edges, without_files
@@ -33,28 +33,43 @@ def resolved(nodes: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
     return unique_edges(out)
 
 
-def index_files(store: GraphStore, files: DataFrame, project: str) -> dict:
-    """Replaces the files' rows (filePath, content, language, hash) in the store."""
+#: What resolution makes anew each time, beside the types that files themselves tell.
+RESOLVED = ("CALLS", "DATAFLOWS", "READS", "WRITES", "IMPORTS", "INCLUDES")
+
+
+def index_files(store: GraphStore, files: DataFrame, project: str, gone: DataFrame | None = None) -> dict:
+    """Replaces the files' rows (filePath, content, language, hash) in the store, and takes out those in gone (filePath).
+
+    Only these files are parsed. Facts and links of all others are kept in the store, and resolution runs over the whole
+    project: what unchanged files call in changed ones is found again, or no longer, as by a fresh index. Edges of other
+    making stay while both their ends do. Only the project's partitions are written.
+    """
     got = cut(extract(files, project), "extracted")
-    nodes, edges, facts = tables(got)
+    nodes, links, facts = tables(got)
     nodes = nodes.join(files.select("filePath", "hash"), "filePath", "left").withColumn("hash", F.when(F.col("label") == "File", F.coalesce("hash", F.lit(""))).otherwise(F.lit("")))
-    old_nodes, old_edges = without_files(store.nodes, store.edges, files.select("filePath"))
+    touched = files.select("filePath")
+    touched = cut((touched.union(gone.select("filePath")) if gone is not None else touched).distinct(), "touched")
+    mine = F.col("project") == project
+    old_nodes, old_edges = without_files(store.nodes.where(mine), store.edges.where(mine), touched)
     all_nodes = cut(conform(nodes, NODE).unionByName(old_nodes).dropDuplicates(["id"]), "nodes")
-    mine = all_nodes.where(F.col("project") == project)
-    new_edges = resolved(mine, edges, facts)
-    all_edges = cut(unique_edges(new_edges.unionByName(old_edges)), "edges")
-    store.rewrite(all_nodes, all_edges)
-    return {"nodes": all_nodes.count(), "edges": all_edges.count()}
+    there = cut(store.nodes.where(mine).join(touched, "filePath", "left_semi").select(F.col("id").alias("source")), "gone")
+    all_facts = cut(facts.unionByName(store.read("facts").where(mine).join(touched, "filePath", "left_anti").select(*facts.columns)), "facts")
+    all_links = cut(links.unionByName(store.read("links").where(mine).join(there, "source", "left_anti").select(*links.columns)), "links")
+    made = all_links.select("type").distinct()
+    others = old_edges.where(~F.col("type").isin(*RESOLVED)).join(made, "type", "left_anti").select(*EDGE.fieldNames())
+    all_edges = cut(unique_edges(resolved(all_nodes, all_links, all_facts).unionByName(others)), "edges")
+    store.replace(project, nodes=all_nodes, edges=all_edges, facts=all_facts, links=all_links)
+    counts = {"nodes": all_nodes.count(), "edges": all_edges.count()}
+    forget(got, touched, there, all_nodes, all_facts, all_links, all_edges)
+    return counts
 
 
 def index(spark: SparkSession, root: str, store: GraphStore, project: str, force: bool = False) -> dict:
-    """Brings the store up to date with a source tree: only added and changed files are parsed, deleted ones go."""
+    """Brings the store up to date with a source tree: only added and changed files are parsed, deleted ones go. A store without links (an imported one) is parsed whole."""
     disk = cut(discover(spark, root), "disk")
-    state = cut(diff_files(disk.select("filePath", "hash"), store.file_hashes(project), force), "diff")
+    state = cut(diff_files(disk.select("filePath", "hash"), store.file_hashes(project), force or not store.exists("links")), "diff")
     counts = dict(state.groupBy("state").count().collect())
-    if counts.get("deleted"):
-        store.delete_files(state.where("state = 'deleted'"))
-    todo = disk.join(state.where("state IN ('added', 'changed')").select("filePath"), "filePath", "left_semi")
-    if counts.get("added") or counts.get("changed"):
-        index_files(store, cut(todo, "todo"), project)
+    if any(counts.get(k) for k in ("added", "changed", "deleted")):
+        todo = cut(disk.join(state.where("state IN ('added', 'changed')").select("filePath"), "filePath", "left_semi"), "todo")
+        index_files(store, todo, project, state.where("state = 'deleted'"))
     return {k: counts.get(k, 0) for k in ("added", "changed", "unchanged", "deleted")}

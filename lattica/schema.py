@@ -53,3 +53,7 @@ def parse_edge_types(text: str | None, default: tuple[str, ...] = ("CALLS", "IMP
         if x not in EDGE_TYPES:
             raise ValueError(f"unknown edge type: {x}")
     return names or list(default)
+
+#: What extraction tells of a file beside its nodes: facts to resolve, and edges by the names in the text.
+FACT_FIELDS = "kind string, source string, name string, filePath string, startLine long, spec string, language string, project string"
+LINK_FIELDS = "source string, target string, type string, startLine long, project string"

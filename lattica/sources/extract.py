@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.schema import FACT_FIELDS, LINK_FIELDS
+
 NODE_FIELDS = "id string, label string, name string, qualifiedName string, filePath string, startLine long, endLine long, language string, signature string, docstring string, content string, isExported boolean, parentQn string, project string"
-FACT_FIELDS = "kind string, source string, name string, filePath string, startLine long, spec string, language string, project string"
-SCHEMA = f"nodes array<struct<{', '.join(f.replace(' ', ':', 1) for f in NODE_FIELDS.split(', '))}>>, edges array<struct<source:string,target:string,type:string,startLine:bigint,project:string>>, facts array<struct<{', '.join(f.replace(' ', ':', 1) for f in FACT_FIELDS.split(', '))}>>".replace(":long", ":bigint")
+SCHEMA = f"nodes array<struct<{', '.join(f.replace(' ', ':', 1) for f in NODE_FIELDS.split(', '))}>>, edges array<struct<{', '.join(f.replace(' ', ':', 1) for f in LINK_FIELDS.split(', '))}>>, facts array<struct<{', '.join(f.replace(' ', ':', 1) for f in FACT_FIELDS.split(', '))}>>".replace(":long", ":bigint")
 
 W = r"[A-Za-z_]\w*"
 #: language -> (label, pattern with the name in group 1)

@@ -12,10 +12,11 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from lattica.plans.lineage import cut
-from lattica.schema import EDGE, NODE
+from lattica.schema import EDGE, FACT_FIELDS, LINK_FIELDS, NODE
 
 SKIPPED = (".git", "target", "node_modules", "build", "dist", "vendor", "__pycache__", ".venv", ".idea", ".cache")
 MAX_FILE = 10 * 1024 * 1024
@@ -148,10 +149,16 @@ def unique_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("_n = 1").drop("_n", "_line")
 
 
+def fields(text: str) -> T.StructType:
+    kinds = {"string": T.StringType(), "long": T.LongType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (f.split(" ") for f in text.split(", "))])
+
+
 class GraphStore:
-    """nodes/ partitioned by project and label, edges/ by project and type, under one folder. Files are immutable: a change writes the touched partitions anew."""
+    """nodes/ partitioned by project and label, edges/ by project and type, and what files say of themselves before resolution, facts/ and links/, by project, under one folder. Files are immutable: a change writes the partitions of its project anew."""
 
-    PARTS = {"nodes": ["project", "label"], "edges": ["project", "type"]}
+    PARTS = {"nodes": ["project", "label"], "edges": ["project", "type"], "facts": ["project"], "links": ["project"]}
+    SCHEMAS = {"nodes": NODE, "edges": EDGE, "facts": fields(FACT_FIELDS), "links": fields(LINK_FIELDS)}
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -166,7 +173,7 @@ class GraphStore:
             raise
 
     def read(self, name: str) -> DataFrame:
-        schema = NODE if name == "nodes" else EDGE
+        schema = self.SCHEMAS[name]
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)
         return conform(self.spark.read.parquet(f"{self.path}/{name}"), schema)
@@ -194,15 +201,41 @@ class GraphStore:
     def file_hashes(self, project: str) -> DataFrame:
         return self.nodes.where((F.col("label") == "File") & (F.col("project") == project)).select("filePath", "hash")
 
-    def rewrite(self, nodes: DataFrame, edges: DataFrame) -> None:
-        for name, df in (("nodes", cut(nodes)), ("edges", cut(edges))):
-            df.repartition(*self.PARTS[name]).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*self.PARTS[name]).parquet(f"{self.path}/{name}")
+    def replace(self, project: str, **tables: DataFrame) -> None:
+        """The project's partitions of each table, anew; other projects' aren't touched. tables are cut: they don't read the store."""
+        for name, df in tables.items():
+            self.save(name, df, "overwrite")
+            second = [*self.PARTS[name], None][1]
+            left = {r[0] for r in df.select(second).distinct().collect()} if second else set() if df.limit(1).count() else {None}
+            self._drop(name, project, second, left)
+
+    def _drop(self, table: str, project: str, part: str | None, left: set) -> None:
+        """The project's partitions by `part` that aren't left go; without `part`, all of the project if left holds None."""
+        jvm = self.spark.sparkContext._jvm
+        names = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/project={names.escapePathName(project)}")
+        fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(folder):
+            return
+        if part is None:
+            if None in left:
+                fs.delete(folder, True)
+            return
+        for s in fs.listStatus(folder):
+            name = s.getPath().getName()
+            if name.startswith(f"{part}=") and names.unescapePathName(name.split("=", 1)[1]) not in left:
+                fs.delete(s.getPath(), True)
 
     def delete_files(self, paths: DataFrame) -> None:
-        self.rewrite(*without_files(self.nodes, self.edges, paths))
+        """Rows of these files (filePath) go, of whatever project, with the edges at their nodes."""
+        for project in [r.project for r in self.nodes.join(paths.select("filePath"), "filePath", "left_semi").select("project").distinct().collect()]:
+            mine = F.col("project") == project
+            nodes, edges = without_files(self.nodes.where(mine), self.edges.where(mine), paths)
+            self.replace(project, nodes=cut(nodes), edges=cut(edges))
 
     def delete_project(self, project: str) -> None:
-        self.rewrite(self.nodes.where(F.col("project") != project), self.edges.where(F.col("project") != project))
+        for name in self.PARTS:
+            self._drop(name, project, None, {None})
 
 
 def without_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:

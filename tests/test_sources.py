@@ -179,6 +179,34 @@ def test_index_then_change_then_delete(spark, tree, tmp_path):
     assert other.store.nodes.count() == 0 and service.list().first().project == "p"
 
 
+def test_index_of_changes_equals_a_fresh_index(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    call = "from b import helper\n\ndef caller():\n    return helper(1)\n"
+    (root / "a.py").write_text(call)
+    (root / "c.py").write_text("def lone():\n    return 1\n")
+    store = S.GraphStore(spark, str(tmp_path / "store"))
+    other = S.GraphStore(spark, str(tmp_path / "other"))
+    other_root = tmp_path / "second"
+    other_root.mkdir()
+    (other_root / "z.py").write_text("def z():\n    return 0\n")
+    index(spark, str(other_root), store, "q")
+    seen = []
+    for step, text in enumerate(["def helper(x):\n    return x\n", "def helper(x):\n    return x + 1\n", "def renamed(x):\n    return x\n", "def helper(x):\n    return x\n", None]):
+        if text is None:
+            (root / "b.py").unlink()
+        else:
+            (root / "b.py").write_text(text)
+        index(spark, str(root), store, "p")
+        fresh = S.GraphStore(spark, str(tmp_path / f"fresh{step}"))
+        index(spark, str(root), fresh, "p")
+        for name, drop in (("nodes", ()), ("edges", ())):
+            got, want = (x.read(name).where("project = 'p'").drop(*drop) for x in (store, fresh))
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        seen.append(store.edges.where("type IN ('CALLS', 'IMPORTS') AND project = 'p'").count())
+    assert seen == [2, 2, 1, 2, 0] and store.nodes.where("project = 'q' AND name = 'z'").count() == 1 and not other.exists("nodes")
+
+
 def test_watch_brings_the_store_up_to_date(spark, tree, tmp_path):
     store = S.GraphStore(spark, str(tmp_path / "store"))
     index(spark, str(tree), store, "p")
