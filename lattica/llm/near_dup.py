@@ -13,7 +13,9 @@ what contains least and is contained most. So a bucket of m nodes gives O(m) can
 The ensemble misses links: between sizes far apart, and in buckets that a passage crowds. So a last round finds every
 link that is left between its classes. Only shingles that are held by more than one class can be part of such a link, and
 a text of n shingles can be the smaller end only if ceil(0.8 n) of its shingles are; few texts are left then. Those ask
-for the holders of their rarest shingles, one more than a link may lack, and the pairs are checked exactly too.
+for the holders of their rarest shingles, one more than a link may lack, and the pairs are checked exactly too. Where many ask
+for what many hold (copies that drifted just below the threshold, say), pairs are as many as the product: such a crowd is
+counted in blocks, by matrix products over its texts' shingles, and no pair of it becomes a row unless it is a link.
 Classes are connected components by contraction, each round a table in the shared folder.
 """
 
@@ -39,6 +41,9 @@ SIGMAS = 2.0
 BUCKET, SAMPLED_NODES = 4_000_000, 8_192
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Shingles that more texts than these ask for and hold make crowds, whose links are counted by blocks: so many texts and entries in one, about.
+CROWD_ASKERS, CROWD_HOLDERS = 16, 64
+BLOCK_TEXTS, BLOCK_ENTRIES = 2_048, 1 << 20
 
 
 class Shingler:
@@ -388,8 +393,8 @@ def unpacked(shared: DataFrame, *columns: str) -> DataFrame:
     return shared.select(*need).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
-def meetings(docs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT, bucket: int = BUCKET) -> DataFrame:
-    """a < b, seen: pairs of nodes (node, h1, h2, rep, size, label) of different labels that may be linked. No linked pair of different labels is missing.
+def meetings(docs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """a < b, seen: pairs of nodes (node, h1, h2, rep, size, label) of different labels that may be linked; and a, b: links found in crowds. No linked pair of different labels is missing, but that crowds' links only join the same labels as all of them would.
 
     Of n shingles a link of x, the smaller set, needs n - f = ceil(containment n), all of them held by another label. So x
     asks only if it has m >= n - f such shingles, and then any m - (n - f) + 1 of them do: one is the other text's. It asks
@@ -399,18 +404,117 @@ def meetings(docs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT
     least = F.ceil(F.col("size") * F.lit(containment) - 1e-9)
     many = unpacked(shared, "node", "many").groupBy("node").agg(F.sum("many").alias("many"))
     askers = written(many.join(nodes.select("node", "size", F.col("label").alias("own")), "node").where(F.col("many") >= least).select("node", "own", (F.col("many") - least + 1).alias("asks")), "askers")
-    few = askers.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    few = lambda df: F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
     entries = unpacked(shared, "id", "weight", "node", "label")
-    own = entries.join(F.broadcast(askers) if few else askers, "node")
+    own = entries.join(few(askers), "node")
     nth = F.row_number().over(W.partitionBy("node").orderBy("weight", "id"))
-    asks = written(own.withColumn("nth", nth).where("nth <= asks").select("id", F.col("node").alias("x"), "own"), "asks")
-    few = asks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    met = entries.select("id", "node", "label").join(F.broadcast(asks) if few else asks, "id").where("node <> x AND label <> own")
+    asks = written(own.withColumn("nth", nth).where("nth <= asks").select("id", "weight", F.col("node").alias("x"), "own"), "asks")
+    # What few ask for or few hold: rows are at most so many times the asks, or the entries.
+    hot = asks.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")).where((F.col("n") > CROWD_ASKERS) & (F.col("weight") > CROWD_HOLDERS))
+    hot = written(hot.select("id"), "hot")
+    met = entries.select("id", "node", "label").join(few(asks.join(hot, "id", "left_anti").select("id", "x", "own")), "id").where("node <> x AND label <> own")
     out = written(met.groupBy(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).agg(F.count(F.lit(1)).alias("seen")), "rest")
-    forget(shared, askers, asks)
+    # A crowd: the shingles that are tied by who asks for them, all who ask, all who hold.
+    crowded = written(asks.join(hot, "id", "left_semi").select("x", "id"), "crowded")
+    first = crowded.groupBy("x").agg(F.min("id").alias("first"))
+    tied = components(crowded.join(first, "x").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    crowds = written(hot.join(tied.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("crowd")), "crowds")
+    asking = first.join(crowds, first["first"] == crowds["id"]).select(F.col("x").alias("node"), "crowd", F.lit(True).alias("asks"))
+    holding = entries.select("id", "node").join(few(crowds), "id").select("node", "crowd").distinct().withColumn("asks", F.lit(False))
+    members = written(asking.union(holding), "members")
+    links = crowd_links(members, docs, nodes, containment)
+    forget(shared, askers, asks, hot, crowded, tied, crowds, members)
+    return out, links
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of left shares with each of right. Values that many pairs share are counted by matrix products, the others pair by pair."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (left, right)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), np.int32)
+    if not len(both):
+        return out
+    at, own, times, starts = [], [], [], []
+    for values, of in sides:
+        i = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        known = both[i] == values
+        i, of = i[known], of[known]
+        order = np.argsort(i, kind="stable")
+        at.append(i[order]), own.append(of[order])
+        times.append(np.bincount(i, minlength=len(both)))
+        starts.append(np.cumsum(times[-1]) - times[-1])
+    work = times[0] * times[1]
+    dense = work > out.size // 64
+    place = np.cumsum(dense) - 1
+    for k in range(0, int(dense.sum()), 256):
+        parts = []
+        for side in (0, 1):
+            use = dense[at[side]] & (place[at[side]] >= k) & (place[at[side]] < k + 256)
+            m = np.zeros((len((left, right)[side]), 256), np.float32)
+            m[own[side][use], place[at[side][use]] - k] = 1
+            parts.append(m)
+        np.add(out, parts[0] @ parts[1].T, out=out, casting="unsafe")
+    # An entry of left meets all entries of right that have its value.
+    mine = np.flatnonzero(~dense[at[0]])
+    total = np.cumsum(times[1][at[0][mine]])
+    i = 0
+    while i < len(mine):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 21), "right")))
+        n = times[1][at[0][mine[i:j]]]
+        to = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[1][at[0][mine[i:j]]], n)
+        cell, count = np.unique(np.repeat(own[0][mine[i:j]], n) * len(right) + own[1][to], return_counts=True)
+        out.reshape(-1)[cell] += count.astype(np.int32)
+        i = j
     return out
 
 
+def crowd_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT, texts: int = BLOCK_TEXTS, entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """a, b: of the links between those of members (node, crowd, asks) that ask and the others of the same crowd, as many as join the same labels of nodes (node, h1, h2, rep, size, label). Each block of the one goes with each of the other to a task."""
+    whole = bearing(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), "label")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], names=["node", "label", "shingles"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        sides = []
+        for flag in (True, False):
+            own = rows.filter(pa.array([x == flag for x in rows.column("asks").to_pylist()], pa.bool_()))
+            sides.append((own.column("node").to_numpy(), own.column("label").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in own.column("shingles")]))
+        (a, la, left), (b, lb, right) = sides
+        found: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            shared, sizes, up = overlaps(left, right), np.array([len(x) for x in right]), {}
+
+            def top(x: int) -> int:
+                while up.setdefault(x, x) != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            for i, x in enumerate(left):
+                good = np.flatnonzero((shared[i] >= np.ceil(np.minimum(len(x), sizes) * containment - 1e-9)) & (lb != la[i]))
+                for j in good[np.unique(lb[good], return_index=True)[1]]:
+                    p, q = top(int(la[i])), top(int(lb[j]))
+                    if p != q:
+                        up[p] = q
+                        found.append((int(min(a[i], b[j])), int(max(a[i], b[j]))))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    sets = written(whole.select("node", "label", "text").mapInArrow(cut, "node long, label long, shingles binary"), "sets")
+    sized = members.join(nodes.select("node", "size"), "node")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / texts, F.sum(F.col("size").cast("long")) / entries))
+    parts = sized.groupBy("crowd", "asks").agg(parts.alias("parts")).groupBy("crowd").agg(F.max(F.when(F.col("asks"), F.col("parts"))).alias("left"), F.max(F.when(~F.col("asks"), F.col("parts"))).alias("right"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    placed = members.join(parts, "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("left")).otherwise(F.col("right"))))
+    left = placed.where("asks").select("node", "crowd", "asks", F.col("own").alias("i"), upto("right").alias("j"))
+    right = placed.where("NOT asks").select("node", "crowd", "asks", upto("left").alias("i"), F.col("own").alias("j"))
+    blocks = left.union(right).join(sets, "node").select("crowd", "i", "j", "asks", "node", "label", "shingles")
+    links = written(blocks.groupBy("crowd", "i", "j").applyInArrow(meet, "a long, b long"), "links")
+    forget(sets)
+    return links
+
+
 def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, containment: float = CONTAINMENT, share: int = 256) -> DataFrame:
     """The pairs (a, b) of nodes (node, h1, h2, rep, size) that share at least that part of the smaller set, by their whole texts.
 
@@ -505,9 +609,9 @@ def classes(docs: DataFrame, containment: float = CONTAINMENT, bands: int = BAND
     labels = components(links)
     own = written(labelled(labels), "labelled")
     forget(labels)
-    rest = meetings(docs, own, containment, bucket)
+    rest, crowded = meetings(docs, own, containment, bucket)
     best = best_of(rest)
-    links = links.union(linked(best, docs, nodes, containment))
+    links = links.union(crowded).union(linked(best, docs, nodes, containment))
     labels = components(links)
     la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     open_ = written(rest.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b"), "open")

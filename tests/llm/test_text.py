@@ -307,6 +307,51 @@ def test_hot_shingles_are_spread_and_lose_no_link(spark):
     assert {r.class_id for r in near_dup.classes(docs_of(spark, more), bands=2, bucket=64).collect()} == {0}
 
 
+def test_a_crowd_just_below_the_threshold_is_counted_in_blocks(spark, monkeypatch):
+    rng, base, rows = random.Random(15), prose(random.Random(16), 120).split(), []
+    # Copies that lose 20 of 116 shingles each: two have 76 or little more in common, but for some that differ at the same places.
+    for k in range(600):
+        places = places if k % 10 == 1 else [rng.randrange(5 + 28 * i, 28 + 28 * i) for i in range(4)]
+        rows.append((k, " ".join(f"own{k}x{i}" if i in places else w for i, w in enumerate(base))))
+    compared, linked = [], near_dup.linked
+    monkeypatch.setattr(near_dup, "linked", lambda pairs, *more: compared.append(pairs.count()) or linked(pairs, *more))
+    want = slow_classes(rows)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs_of(spark, rows), bands=2).collect()}
+    assert got == want and 400 < len(set(want.values())) <= 540
+    assert sum(compared) <= 20 * len(rows)  # of 179,700 pairs, nearly all of which meet in a shingle
+
+
+def test_crowds_of_many_blocks_lose_no_link(spark):
+    rng = np.random.default_rng(17)
+    common = [f"w{i}" for i in range(70)]
+    texts = [" ".join(common[: rng.integers(40, 70)] + [f"own{k // 2}x{i}" for i in range(rng.integers(5, 40))]) for k in range(90)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    docs = docs_of(spark, list(enumerate(texts)))
+    h1, h2 = near_dup.text_hash()
+    sizes = spark.createDataFrame([(k, len(x)) for k, x in enumerate(sets)], "node long, size int")
+    nodes = docs.select(docs.doc_id.alias("node"), h1, h2, docs.doc_id.alias("rep"), docs.doc_id.alias("label")).join(sizes, "node")
+    members = spark.createDataFrame([(k, k % 2, asks) for k in range(90) for asks in (True, False) if not asks or k % 3], "node long, crowd long, asks boolean")
+    links = [(a, b) for a in range(90) for b in range(a + 1, 90) if (a - b) % 2 == 0 and (a % 3 or b % 3) and 5 * len(sets[a] & sets[b]) >= 4 * min(len(sets[a]), len(sets[b]))]
+    for texts_, entries in ((7, 1 << 20), (2048, 300), (2048, 1 << 20)):
+        got = [(r.a, r.b) for r in near_dup.crowd_links(members, docs, nodes, texts=texts_, entries=entries).collect()]
+        assert set(got) <= set(links)
+        assert groups_of(90, got) == groups_of(90, links)
+
+
+def groups_of(n, links):
+    of = list(range(n))
+    for a, b in links:
+        of = [of[a] if x == of[b] else x for x in of]
+    return Counter(frozenset(i for i in range(n) if of[i] == x) for x in set(of))
+
+
+def test_overlaps_are_brute_force():
+    rng = np.random.default_rng(18)
+    for top in (3, 60, 100_000):
+        left, right = ([np.unique(rng.integers(0, top, rng.integers(0, 90)).astype(np.uint64)) for _ in range(n)] for n in (23, 31))
+        assert near_dup.overlaps(left, right).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+
+
 def test_components_of_a_chain_and_of_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5001)]
     got = {r.node: r.label for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
