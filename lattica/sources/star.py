@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lattica.plans.lineage import shared_dir
+from lattica.plans.lineage import set_for, shared_dir, stored_bytes
 from lattica.schema import EDGE, NODE
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -109,6 +109,16 @@ def plain(sql: str) -> str:
 GRAPH_CTE = f"nodes AS ({plain(NODES_SQL)}),\nedges AS ({plain(EDGES_SQL)})"
 
 
+#: Shuffled bytes of one task of the index, and stored bytes of the tables for each partition that they are shuffled into at first: tasks stay small as tables grow.
+TASK_BYTES, PART_BYTES = 8 << 20, 2 << 20
+
+
+def building(spark: SparkSession, stored: int) -> dict[str, str]:
+    """Settings for the index of tables of so many bytes. Concurrent writers: rows needn't be sorted by partition, a task has those of one or a few."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // PART_BYTES))
+    return {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES), "spark.sql.maxConcurrentOutputFileWriters": "50"}
+
+
 #: (application, directory, table) -> where it is stored
 _STORED: dict[tuple[str, str, str], str] = {}
 
@@ -133,7 +143,8 @@ class Graph:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORED:
             path = f"{shared_dir(self.spark)}/graph/{key[0]}/{name}-{uuid.uuid4().hex}"
-            self.derived(sql).write.partitionBy(part).parquet(path)
+            with set_for(self.spark, building(self.spark, stored_bytes(self.spark, *[f"{self.sf_dir}/{t}.parquet" for t in TABLES]))):
+                self.derived(sql).write.partitionBy(part).parquet(path)
             _STORED[key] = path
         return self.spark.read.schema(NODE_TYPES if name == "nodes" else EDGE).parquet(_STORED[key])
 
