@@ -140,10 +140,16 @@ def unique_nodes(nodes: DataFrame, order: str) -> DataFrame:
     return nodes.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(order))).where("_n = 1").drop("_n")
 
 
-def unique_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
-    """One row for each source, target, type and line (null as 0)."""
+#: Edges of one task of `unique_edges`, where their number is known.
+TASK_EDGES = 500_000
+
+
+def unique_edges(edges: DataFrame, order: str | None = None, tasks: int | None = None) -> DataFrame:
+    """One row for each source, target, type and line (null as 0). tasks: how many share the edges; what is grouped by ends and type afterwards moves no more."""
     key = ["source", "target", "type", "_line"]
     df = edges.withColumn("_line", F.coalesce("startLine", F.lit(0)))
+    if tasks:
+        df = df.repartition(tasks, "source", "target", "type")
     if order is None:
         return df.dropDuplicates(key).drop("_line")
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("_n = 1").drop("_n", "_line")
