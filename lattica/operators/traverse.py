@@ -158,7 +158,7 @@ def subgraph(edges: DataFrame, start: DataFrame, depth: int, cap: int = MAX_NODE
 def impact(edges: DataFrame, start: str, types: str | None = None, depth: int = IMPACT_DEPTH, tests: bool = False) -> DataFrame:
     """id, depth, type, path: who is affected by a change of start, one path each, the first by (path). Reverse breadth-first search; TESTS only if asked."""
     wanted = parse_edge_types(types) + (["TESTS"] if tests else [])
-    back = cut(numbered(edges, wanted).select(F.col("target").alias("_at"), F.col("source").alias("id"), "type").distinct(), "back")
+    back = cut(numbered(edges, wanted).select(F.col("target").alias("_at"), F.col("source").alias("id"), "type"), "back")
     spark = edges.sparkSession
     frontier = spark.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("depth"), F.lit("").alias("type"), F.array(F.lit(start)).alias("path"))
     seen = [frontier.select("id")]
