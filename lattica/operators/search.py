@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lattica.functions import text as X
+from lattica.plans.lineage import cut
 
 SYMBOLS = "Function Method Class Struct Enum Trait Interface Module Namespace Macro TypeAlias Typedef Variable Const Static GlobalVar".split()
 REGEX_LABELS = ("Function", "Method", "Class")
@@ -118,9 +119,10 @@ def inverted_index(docs: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, id_: str, text: str, query: str, limit: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Real BM25 as an extra: id, score. Only the query's tokens are counted; document lengths come in the same pass."""
+    """Real BM25 as an extra: id, score. Only the query's tokens are counted; document lengths come in the same pass. Texts are split once: what is needed of them is written."""
     want = X.tokens(F.lit(query))
     rows = docs.select(F.col(id_).alias("id"), X.tokens(F.col(text)).alias("t")).select("id", F.size("t").alias("n"), F.filter("t", lambda x: F.array_contains(want, x)).alias("t"))
+    rows = cut(rows, "tokens")
     stats = rows.agg(F.count(F.lit(1)).alias("_docs"), F.avg("n").alias("_avg"))
     tf = rows.select("id", "n", F.explode("t").alias("token")).groupBy("id", "n", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
