@@ -330,11 +330,8 @@ def scc_members(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return all_.join(sizes, "scc").where("n > 1").select("id", "scc").union(loops).distinct()
 
 
-def c3(cls: str, parents: dict[str, list[str]], path: tuple[str, ...] = ()) -> list[str]:
-    """C3 linearisation; on conflict what could be merged, a cycle ends the list."""
-    if cls in path:
-        return []
-    lists = [c3(p, parents, (*path, cls)) for p in parents.get(cls, [])] + [list(parents.get(cls, []))]
+def c3_merge(cls: str, lists: list[list[str]]) -> list[str]:
+    """cls and the merge of its parents' lists and the list of its parents; on conflict what could be merged."""
     out = [cls]
     while lists := [x for x in lists if x]:
         head = next((x[0] for x in lists if not any(x[0] in y[1:] for y in lists)), None)
@@ -345,6 +342,17 @@ def c3(cls: str, parents: dict[str, list[str]], path: tuple[str, ...] = ()) -> l
     return out
 
 
+def c3(cls: str, parents: dict[str, list[str]], path: tuple[str, ...] = ()) -> list[str]:
+    """C3 linearisation; on conflict what could be merged, a cycle ends the list."""
+    if cls in path:
+        return []
+    return c3_merge(cls, [c3(p, parents, (*path, cls)) for p in parents.get(cls, [])] + [list(parents.get(cls, []))])
+
+
+def first_merge(cls: str, lists: list[list[str]]) -> list[str]:
+    return list(dict.fromkeys([cls, *(x for part in lists for x in part)]))
+
+
 def first_wins(cls: str, parents: dict[str, list[str]]) -> list[str]:
     out: list[str] = []
     stack = [cls]
@@ -357,24 +365,60 @@ def first_wins(cls: str, parents: dict[str, list[str]]) -> list[str]:
 
 
 MRO: dict[str, Callable] = {"python": c3, "ruby": c3, "rust": lambda c, p: [c]}
+MERGES: dict[str, Callable] = {"python": c3_merge, "ruby": c3_merge, "rust": lambda c, lists: [c]}
 
 
 def method_resolution(edges: DataFrame, roots: DataFrame, strategy: str = "python", max_depth: int = 64) -> DataFrame:
-    """root, mro: for each of roots (id), over the EXTENDS edges above it; parents in order of line, then id."""
-    up = edges.where("type = 'EXTENDS'").select("source", "target", F.coalesce("startLine", F.lit(0)).alias("line"))
-    now = roots.select(F.col("id").alias("root"), F.col("id").alias("source")).distinct()
+    """root, mro: for each of roots (id), over the EXTENDS edges above it; parents in order of line, then id.
+
+    A class's list is merged from its parents' lists, so each class is met once, after its parents. Classes at or below a cycle, where a list
+    depends on where it began, and those deeper than max_depth collect the edges above them, each for itself.
+    """
+    up = cut(edges.where("type = 'EXTENDS'").select("source", "target", F.coalesce("startLine", F.lit(0)).alias("line")).distinct(), "up")
+    roots = cut(roots.select(F.col("id").alias("root")).distinct(), "roots")
+    need = up.groupBy("source").agg(F.count(F.lit(1)).alias("need"))
+    up_ = cut(up.join(need.hint("merge"), "source"), "up")
+    merge = MERGES.get(strategy, first_merge)
+
+    @F.pandas_udf("array<string>")
+    def merged(source: pd.Series, above: pd.Series) -> pd.Series:
+        return pd.Series([merge(s, [list(x["mro"]) for x in rows] + [[x["target"] for x in rows]]) for s, rows in zip(source, above)])
+
+    tops = roots.select(F.col("root").alias("id")).union(up.select("target")).distinct().join(up.select(F.col("source").alias("id")).hint("merge"), "id", "left_anti")
+    done = [cut(tops.select("id", F.array("id").alias("mro")), "mro")]
+    waiting, n = None, done[0].count()
+    for _ in range(max_depth):
+        if not n:
+            break
+        met = up_.join(beside(done[-1].select(F.col("id").alias("target"), "mro"), n), "target").select("source", "need", F.struct("line", "target", "mro").alias("p"))
+        one = met.where("need = 1").select(F.col("source").alias("id"), F.concat(F.array("source"), F.col("p.mro")).alias("mro")) if strategy != "rust" else met.where("need = 1").select(F.col("source").alias("id"), F.array("source").alias("mro"))
+        some = met.where("need > 1")
+        some = cut((some if waiting is None else some.union(waiting)).groupBy("source", "need").agg(F.collect_list("p").alias("p")), "some")
+        ready = some.where("size(p) = need").select(F.col("source").alias("id"), merged("source", F.array_sort("p")).alias("mro"))
+        waiting = some.where("size(p) < need").select("source", "need", F.explode("p").alias("p"))
+        done.append(cut(one.union(ready), "mro"))
+        n = done[-1].count()
+    lists = reduce(DataFrame.union, done).withColumnRenamed("id", "root")
+    rest = cut(roots.join(lists.select("root").hint("merge"), "root", "left_anti"), "rest")
+    whole = roots.join(lists.hint("merge"), "root")
+    return whole.union(above_each(up, rest, strategy, max_depth)) if rest.limit(1).count() else whole
+
+
+def above_each(up: DataFrame, roots: DataFrame, strategy: str, max_depth: int) -> DataFrame:
+    """root, mro: the edges above each root (root) are collected and ordered in one place."""
+    now = roots.select("root", F.col("root").alias("source"))
     found = []
     seen = cut(now, "mro")
     for _ in range(max_depth):
-        step = cut(now.join(up, "source").select("root", "source", "target", "line"), "mro")
+        step = cut(now.join(up.hint("merge"), "source").select("root", "source", "target", "line"), "mro")
         if not step.limit(1).count():
             break
         found.append(step)
-        now = cut(step.select("root", F.col("target").alias("source")).distinct().join(seen, ["root", "source"], "left_anti"), "mro")
+        now = cut(step.select("root", F.col("target").alias("source")).distinct().join(seen.hint("merge"), ["root", "source"], "left_anti"), "mro")
         seen = seen.union(now)
     run_mro = MRO.get(strategy, first_wins)
     links = reduce(DataFrame.union, found).distinct() if found else seen.select("root", "source", F.lit(None).cast("string").alias("target"), F.lit(0).cast("long").alias("line")).where("false")
-    grouped = roots.select(F.col("id").alias("root")).distinct().join(links.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("source", "line", "target"))).alias("l")), "root", "left")
+    grouped = roots.join(links.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("source", "line", "target"))).alias("l")), "root", "left")
 
     @F.pandas_udf("array<string>")
     def order(root: pd.Series, links_: pd.Series) -> pd.Series:
