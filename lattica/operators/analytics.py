@@ -125,12 +125,15 @@ def communities(edges: DataFrame, resolution: float = 1.0, seeds: int = 1) -> Da
 def propagated(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """id, community: weighted label propagation; each round every node takes the label with most weight around it, the least on ties."""
     w = call_weights(edges)
-    both = cut(w.select(F.col("a").alias("id"), F.col("b").alias("o"), "weight").union(w.select("b", "a", "weight")).repartition("o"), "weights")
-    labels = both.select("id").distinct().withColumn("community", F.col("id"))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("id").alias("o"), "community"), "o").groupBy("id", "community").agg(F.sum("weight").alias("v"))
-        new = cut(votes.groupBy("id").agg(F.max_by("community", F.struct("v", F.col("community"))).alias("community")), "labels")
-        same = new.join(labels.withColumnRenamed("community", "old"), "id").where("community <> old").limit(1).count() == 0
+    both = cut(w.select(F.col("a").alias("id"), F.col("b").alias("o"), "weight").union(w.select("b", "a", "weight")), "weights")
+    best = lambda label: F.max_by(label, F.struct("v", F.col(label))).alias("community")
+    # At first each node is its own label: the first round needs no join.
+    labels = cut(both.withColumnRenamed("weight", "v").groupBy("id").agg(best("o")), "labels") if rounds else both.select("id").distinct().withColumn("community", F.col("id"))
+    for _ in range(rounds - 1):
+        # The labels are the side that is kept in memory, so that links aren't sorted; votes move once, to their node.
+        near = both.join(labels.select(F.col("id").alias("o"), "community").hint("shuffle_hash"), "o").select("id", "community", "weight").repartition("id")
+        new = cut(near.groupBy("id", "community").agg(F.sum("weight").alias("v")).groupBy("id").agg(best("community")), "labels")
+        same = new.join(labels.withColumnRenamed("community", "old").hint("merge"), "id").where("community <> old").limit(1).count() == 0
         labels = new
         if same:
             break
