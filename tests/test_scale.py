@@ -1,6 +1,7 @@
 """Plans that must stay even or small as tables grow, on small tables."""
 
 import random
+from array import array
 from collections import Counter
 
 import pytest
@@ -163,3 +164,21 @@ def test_unique_edges_move_once(spark):
     out = files.unique_edges(e, tasks=3).groupBy("source", "target", "type", F.coalesce("startLine", F.lit(0)).alias("line")).agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, out.collect())) == [("a", "b", "CALLS", 0, 1), ("a", "b", "CALLS", 1, 1), ("c", "b", "READS", 1, 1)]
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_packed_louvain_is_louvain(spark):
+    for seed in range(30):
+        r = random.Random(seed)
+        names = sorted({str(r.randrange(400)) for _ in range(25)})
+        pairs = {tuple(sorted(r.sample(names, 2))): r.choice((1, 1, 1, 2, 3)) for _ in range(r.randrange(5, 90))}
+        used = sorted({x for p in pairs for x in p})
+        number = {x: i for i, x in enumerate(used)}
+        both = sorted((number[x], number[y], w) for (a, b), w in pairs.items() for x, y in ((a, b), (b, a)))
+        got = A.packed_louvain(*(array("i", c) for c in zip(*both))).tolist()
+        want, first = A.louvain([(a, b, float(w)) for (a, b), w in pairs.items()]), {}
+        for x in used:
+            first.setdefault(want[x], x)
+        assert [used[i] for i in got] == [first[want[x]] for x in used]
+    found = A.communities(edges_of(spark, [(a, b, "CALLS") for (a, b), w in pairs.items() for _ in range(w)] + [("p", "q", "CALLS")]))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert dict(found.collect()) == {x: first[want[x]] for x in used} | {"p": "p", "q": "p"}
